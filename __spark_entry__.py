@@ -83,7 +83,10 @@ def _csv_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The purchases written as CSV with padded headers and read back as text."""
     raw = fixture.raw_tables(spark, sf_dir)["transactions"]
     path = f"{storage_root(spark)}/larder/csv/{uuid.uuid4().hex}"
-    raw.toDF(*[f"{c} " for c in raw.columns]).write.csv(path, header=True)
+    padded = raw.toDF(*[f"{c} " for c in raw.columns])
+    padded.write.csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return ingest.bronze(readers.read_csv(spark, path))
 
 

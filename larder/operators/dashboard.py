@@ -21,6 +21,7 @@ from larder.functions.expressions import (
 from larder.functions.labels import SEASONS, season_dim
 from larder.operators.joins import join_dimension
 from larder.sources.star import Star
+from larder.sources.store import storage_root
 
 
 def _money(total: Column) -> Column:
@@ -241,20 +242,25 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 # Pivots ----------------------------------------------------------------------
 
 
-def distinct_values(rows: DataFrame, name: str) -> list:
-    """Sorted values of a pivot axis; `rows` is a summary, one row per cell."""
-    found = rows.select(name).distinct().orderBy(name).collect()
-    return [r[0] for r in found if r[0] is not None]
+def pivot_spend(
+    cells: DataFrame, row: str, column: str, values: list[str] | None = None
+) -> DataFrame:
+    """Rows by columns of total_spend, 0 where there is no cell.
 
-
-def pivot_spend(cells: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Rows by columns of total_spend, 0 where there is no cell."""
+    `cells` is a summary, one row per cell. Without given values it is written
+    out, so that finding the values does not compute it twice.
+    """
+    if values is None:
+        storage_root(cells.sparkSession)
+        cells = cells.checkpoint()
+        found = cells.select(column).distinct().orderBy(column).collect()
+        values = [r[0] for r in found if r[0] is not None]
     table = cells.groupBy(row).pivot(column, values).agg(F.first("total_spend"))
     return table.fillna(0.0, [str(v) for v in values]).orderBy(row)
 
 
 def dept_year_pivot(cells: DataFrame) -> DataFrame:
-    return pivot_spend(cells, "DEPARTMENT", "YEAR", distinct_values(cells, "YEAR"))
+    return pivot_spend(cells, "DEPARTMENT", "YEAR")
 
 
 def seasonal_dept_pivot(cells: DataFrame) -> DataFrame:
@@ -262,4 +268,4 @@ def seasonal_dept_pivot(cells: DataFrame) -> DataFrame:
 
 
 def brand_income_pivot(cells: DataFrame) -> DataFrame:
-    return pivot_spend(cells, "INCOME_RANGE", "BRAND_TY", distinct_values(cells, "BRAND_TY"))
+    return pivot_spend(cells, "INCOME_RANGE", "BRAND_TY")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.joins import join_dimension
+from larder.operators.paging import SORT_ROWS, order_by, page_of
 from larder.sources.star import Star
 from larder.sources.store import storage_root
 
@@ -46,9 +47,8 @@ def household_lines(star: Star, household: int | str | None) -> DataFrame:
     return star.transactions.filter(F.col("HSHD_NUM") == int(household))
 
 
-def _order(name: str, descending: bool) -> list[Column]:
-    first = F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_first()
-    return [first, *[F.col(c).asc_nulls_first() for c in TIE_BREAK if c != name]]
+def _columns(name: str) -> list[str]:
+    return [name, *[c for c in TIE_BREAK if c != name]]
 
 
 def _sortable_lines(star: Star, household: int | str | None, name: str) -> DataFrame:
@@ -87,22 +87,22 @@ def household_detail(
     descending: bool = False,
     page: int = 1,
     page_size: int = PAGE_SIZE,
+    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
     """One page of detail rows; lines without a known product or household stay."""
     if page < 1:
         raise ValueError("page starts at 1")
     name = sort_column(sort)
-    order = _order(name, descending)
     lines = _sortable_lines(star, household, name)
-    rows = lines.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    return _describe(star, rows, order)
+    rows = page_of(lines, _columns(name), descending, (page - 1) * page_size, page_size, sort_rows)
+    return _describe(star, rows, order_by(_columns(name), descending))
 
 
 def _after(name: str, descending: bool, last: Mapping[str, object]) -> Column:
     """Rows strictly behind `last` in the page order (NULL first, or last when descending)."""
     behind = F.lit(False)
     same = F.lit(True)
-    for c in (name, *[t for t in TIE_BREAK if t != name]):
+    for c in _columns(name):
         col, value = F.col(c), last[c]
         down = descending and c == name
         if value is None:
@@ -121,12 +121,13 @@ def household_detail_after(
     sort: str = "HSHD_NUM",
     descending: bool = False,
     page_size: int = PAGE_SIZE,
+    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
-    """The page behind a given detail row; costs the same however deep it lies."""
+    """The page behind a given detail row."""
     name = sort_column(sort)
-    order = _order(name, descending)
     lines = _sortable_lines(star, household, name).filter(_after(name, descending, last))
-    return _describe(star, lines.orderBy(*order).limit(page_size), order)
+    rows = page_of(lines, _columns(name), descending, 0, page_size, sort_rows)
+    return _describe(star, rows, order_by(_columns(name), descending))
 
 
 def detail_count(star: Star, household: int | str | None = 10) -> DataFrame:

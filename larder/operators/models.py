@@ -58,19 +58,19 @@ def _gbt(inputs: Sequence[str]) -> Pipeline:
     )
 
 
-def _training(rows: DataFrame, inputs: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """Only the needed columns, cached, in as many partitions as the rows call for."""
-    needed = rows.select(*inputs, *[c for c in extra if c not in inputs]).cache()
-    return needed.coalesce(max(1, -(-needed.count() // ROWS_PER_TASK)))
+def _fit(pipeline: Pipeline, rows: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    """Fit on the needed columns only, cached, in as many tasks as the rows call for."""
+    needed = rows.select(*dict.fromkeys(columns)).cache()
+    try:
+        return pipeline.fit(needed.coalesce(max(1, -(-needed.count() // ROWS_PER_TASK))))
+    finally:
+        needed.unpersist()
 
 
 def train_clv(features: DataFrame) -> PipelineModel:
     """Boosted trees for total spend."""
     rows = features.filter(is_training("HSHD_NUM")).withColumn("label", F.col("total_spend"))
-    train = _training(rows, CLV_FEATURES, ["label"])
-    model = _gbt(CLV_FEATURES).fit(train)
-    train.unpersist()
-    return model
+    return _fit(_gbt(CLV_FEATURES), rows, (*CLV_FEATURES, "label"))
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
@@ -87,15 +87,13 @@ def train_churn(features: DataFrame) -> PipelineModel:
     rows = features.filter(is_training("HSHD_NUM")).withColumn("label", churned("recency"))
     weighted = balanced_weights(rows.select(*CHURN_FEATURES, "label"))
     weighted = weighted.withMetadata("label", TWO_CLASSES)
-    train = _training(weighted, CHURN_FEATURES, ["label", "weight"])
-    model = Pipeline(
+    forest = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(CHURN_FEATURES), outputCol="features"),
             RandomForestClassifier(numTrees=50, maxDepth=5, seed=SEED, weightCol="weight"),
         ]
-    ).fit(train)
-    train.unpersist()
-    return model
+    )
+    return _fit(forest, weighted, (*CHURN_FEATURES, "label", "weight"))
 
 
 def enough_pairs(pairs: DataFrame) -> bool:
@@ -108,10 +106,7 @@ def train_pairs(pairs: DataFrame) -> PipelineModel:
     rows = pairs.filter(is_training("item_1", "item_2")).withColumn(
         "label", F.col("times_bought_together")
     )
-    train = _training(rows, PAIR_FEATURES, ["label"])
-    model = _gbt(PAIR_FEATURES).fit(train)
-    train.unpersist()
-    return model
+    return _fit(_gbt(PAIR_FEATURES), rows, (*PAIR_FEATURES, "label"))
 
 
 # Scores ----------------------------------------------------------------------

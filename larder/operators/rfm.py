@@ -26,7 +26,7 @@ def rfm(star: Star) -> DataFrame:
     Undated lines count in the totals only.
     """
     snapshot = snapshot_date(star).scalar()
-    cut = F.add_months(snapshot, -6)
+    cut = snapshot_date(star).select(F.add_months("snap_date", -6)).scalar()
     zero = F.lit(0).cast("decimal(10,2)")
 
     def spend_when(condition: Column) -> Column:
