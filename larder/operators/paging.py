@@ -31,10 +31,6 @@ class Range(NamedTuple):
     hi: Any
     rows: int
 
-    def holds(self, name: str) -> Column:
-        c = F.col(name)
-        return c.isNull() if self.lo is None else c.between(F.lit(self.lo), F.lit(self.hi))
-
 
 class Slice(NamedTuple):
     """`take` rows after the first `skip` of `rows` in page order."""
@@ -78,13 +74,39 @@ def _count_ranges(rows: DataFrame, name: str, lo: Any, hi: Any) -> list[Range]:
     return [Range(r["lo"], r["hi"], r["n"]) for r in found]
 
 
-def _touched(ranges: list[Range], skip: int, take: int) -> list[tuple[Range, int, int]]:
-    """Ranges the page reaches into, with the rows to skip and take in each."""
-    found, before = [], 0
+class Part(NamedTuple):
+    """Neighbouring ranges that the page reaches into, and its place in them."""
+
+    ranges: list[Range]
+    skip: int
+    take: int
+
+    @property
+    def rows(self) -> int:
+        return sum(r.rows for r in self.ranges)
+
+    def holds(self, name: str) -> Column:
+        c = F.col(name)
+        known = [r for r in self.ranges if r.lo is not None]
+        inside = F.lit(False)
+        if known:
+            lo, hi = min(r.lo for r in known), max(r.hi for r in known)
+            inside = c.between(F.lit(lo), F.lit(hi))
+        return inside | c.isNull() if len(known) < len(self.ranges) else inside
+
+
+def _touched(ranges: list[Range], skip: int, take: int, most: int) -> list[Part]:
+    """Parts of the page in order, neighbours joined up to `most` rows."""
+    found: list[Part] = []
+    before = 0
     for r in ranges:
         start, end = max(skip, before), min(skip + take, before + r.rows)
         if start < end:
-            found.append((r, start - before, end - start))
+            last = found[-1] if found else None
+            if last is not None and last.rows + r.rows <= most:
+                found[-1] = Part([*last.ranges, r], last.skip, last.take + end - start)
+            else:
+                found.append(Part([r], start - before, end - start))
         before += r.rows
     return found
 
@@ -104,14 +126,14 @@ def _narrow(
     if descending:
         ranges.reverse()
     slices = []
-    for part, part_skip, part_take in _touched(ranges, skip, take):
+    for part in _touched(ranges, skip, take, most):
         inside = rows.filter(part.holds(name))
         if part.rows <= most:
-            slices.append(Slice(inside, part_skip, part_take))
-        elif part.lo == part.hi:
-            slices += _narrow(inside, ties, False, part_skip, part_take, most)
+            slices.append(Slice(inside, part.skip, part.take))
+        elif part.ranges[0].lo == part.ranges[0].hi:
+            slices += _narrow(inside, ties, False, part.skip, part.take, most)
         else:
-            slices += _narrow(inside, columns, descending, part_skip, part_take, most)
+            slices += _narrow(inside, columns, descending, part.skip, part.take, most)
     return slices
 
 
@@ -125,6 +147,7 @@ def page_of(
 ) -> DataFrame:
     """`take` rows after the first `skip`, ordered by `columns`."""
     order = order_by(columns, descending)
+    most = max(most, take)
     slices = [Slice(rows, skip, take)]
     if rows.count() > most:
         slices = _narrow(rows, columns, descending, skip, take, most) or [Slice(rows.limit(0), 0, take)]

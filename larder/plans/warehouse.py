@@ -23,6 +23,7 @@ class Warehouse:
     def __init__(self, store: Store):
         self.store = store
         self._entries: dict[str, Entry] | None = None
+        self._models: dict[str, PipelineModel] = {}
 
     def entries(self) -> dict[str, Entry]:
         if self._entries is None:
@@ -58,10 +59,12 @@ class Warehouse:
 
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
         if not self.is_current(MODEL + name):
-            saved = self.store.save_model(name, fit())
+            self.store.save_model(name, fit())
             self._entries = None
-            return saved
-        return PipelineModel.load(self.entries()[MODEL + name].path)
+        path = self.entries()[MODEL + name].path
+        if path not in self._models:
+            self._models[path] = PipelineModel.load(path)
+        return self._models[path]
 
     @cached_property
     def star(self) -> Star:

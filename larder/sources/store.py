@@ -87,12 +87,11 @@ class Store:
             done = list(pool.map(put, tables.items()))
         return self._commit(done)
 
-    def save_model(self, name: str, model: PipelineModel) -> PipelineModel:
-        """Save as a new version, make it current and return the saved copy."""
+    def save_model(self, name: str, model: PipelineModel) -> None:
+        """Save as a new version and make it current."""
         path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
         model.write().save(path)
         self._commit([(MODEL + name, path, 0, 0)])
-        return PipelineModel.load(path)
 
     def load_model(self, name: str) -> PipelineModel:
         return PipelineModel.load(self.entries()[MODEL + name].path)
