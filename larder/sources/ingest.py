@@ -12,6 +12,9 @@ from larder.sources.store import Store
 # The fact table first, then its dimensions.
 LOAD_ORDER = ("transactions", "products", "households")
 
+# Purchase lines per file of the clean table, about 128 MB.
+ROWS_PER_FILE = 5_000_000
+
 
 class IncompleteLoad(ValueError):
     """Some of the three inputs are missing, so nothing is written."""
@@ -84,26 +87,38 @@ def keep_first(df: DataFrame, key: str) -> DataFrame:
     return best.select(key, "row.*").select(*df.columns)
 
 
-def cluster(transactions: DataFrame) -> DataFrame:
+def cluster(transactions: DataFrame, rows: int) -> DataFrame:
     """Order files by household and basket.
 
     A household lookup then skips nearly all files by their min/max values, and
     map-side aggregation by household or basket meets its rows together. The
     product key lets the range split go on inside one very large basket.
     """
-    return transactions.repartitionByRange("HSHD_NUM", "BASKET_NUM", "PRODUCT_NUM").sortWithinPartitions(
-        "HSHD_NUM", "BASKET_NUM"
+    keys = ("HSHD_NUM", "BASKET_NUM", "PRODUCT_NUM")
+    width = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-rows // ROWS_PER_FILE)
+    ranges = (
+        transactions.repartitionByRange(wanted, *keys)
+        if wanted > width
+        else transactions.repartitionByRange(*keys)
     )
+    return ranges.sortWithinPartitions("HSHD_NUM", "BASKET_NUM")
 
 
 def replace_tables(store: Store, tables: dict[str, DataFrame | None]) -> DataFrame:
     """Replace all three clean tables at once; summary of (table, rows).
 
-    Readers see the old three until the new three are committed together.
+    Readers see the old three until the new three are committed together. The
+    purchases are written aside first: ordering them reads its input twice, and
+    the number of files follows from their count.
     """
     check_complete(tables)
     for name in schema.KEYS:
         check_unique(name, tables[name])
+    staged, rows = store.stage(tables["transactions"])
     new = {t: tables[t] for t in LOAD_ORDER}
-    new["transactions"] = cluster(new["transactions"])
-    return store.write(new).select("table", "rows")
+    new["transactions"] = cluster(store.spark.read.parquet(staged), rows)
+    try:
+        return store.write(new).select("table", "rows")
+    finally:
+        store.discard(staged)

@@ -87,6 +87,33 @@ class Store:
             done = list(pool.map(put, tables.items()))
         return self._commit(done)
 
+    def stage(self, df: DataFrame) -> tuple[str, int]:
+        """Write a frame aside; its folder and row count."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        return path, seen.get["rows"]
+
+    def discard(self, staged: str) -> None:
+        """Delete what `stage` wrote."""
+        if staged.startswith(f"{self.root}/staging/"):
+            self._delete(staged)
+
+    def delete_old(self, before: dt.datetime) -> int:
+        """Delete the files of replaced versions written before a moment; how many.
+
+        Choose a moment that no running reader opened its tables before.
+        """
+        current = {e.path for e in self.entries().values()}
+        old = self._manifest().filter(F.col("written_at") < F.lit(before)).select("path").collect()
+        gone = [r["path"] for r in old if r["path"] not in current]
+        return sum(self._delete(path) for path in gone)
+
+    def _delete(self, path: str) -> bool:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.delete(jvm_path, True)
+
     def save_model(self, name: str, model: PipelineModel) -> None:
         """Save as a new version and make it current."""
         path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
@@ -102,15 +129,17 @@ class Store:
         rows.coalesce(1).write.parquet(f"{self.root}/manifest/{uuid.uuid4().hex}")
         return rows
 
-    def entries(self) -> dict[str, Entry]:
-        """The current version of every table; one small row each."""
+    def _manifest(self) -> DataFrame:
         try:
-            manifest = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/*")
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/*")
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return {}
+                return self.spark.createDataFrame([], MANIFEST)
             raise
-        newest = manifest.groupBy("table").agg(
+
+    def entries(self) -> dict[str, Entry]:
+        """The current version of every table; one small row each."""
+        newest = self._manifest().groupBy("table").agg(
             F.max_by(F.struct("path", "rows", "bytes", "written_at"), "written_at").alias("e")
         )
         return {r["table"]: Entry(**r["e"].asDict()) for r in newest.collect()}
