@@ -15,6 +15,10 @@ TOP_BASKETS = 5000
 # Commodities whose pairs are counted first to learn which others can still matter.
 SEED_ITEMS = 64
 
+# A basket holds each commodity once; one task pairs up to this many of them with
+# the others.
+ITEMS_PER_TASK = 1000
+
 
 def top_baskets(star: Star, n: int = TOP_BASKETS) -> DataFrame:
     """The n baskets with the highest spend; ties go to the lower number."""
@@ -47,11 +51,18 @@ def basket_commodities(star: Star, baskets: int = TOP_BASKETS) -> DataFrame:
     )
 
 
-def _count_pairs(items: DataFrame) -> DataFrame:
+def _count_pairs(items: DataFrame, n_items: int) -> DataFrame:
+    """Pairs of a basket come from as many tasks as its possible size calls for."""
     left = items.select("BASKET_NUM", F.col("COMMODITY").alias("item_1"))
     right = items.select("BASKET_NUM", F.col("COMMODITY").alias("item_2"))
+    keys = ["BASKET_NUM"]
+    tasks = -(-n_items // ITEMS_PER_TASK)
+    if tasks > 1:
+        keys.append("part")
+        left = left.withColumn("part", F.pmod(F.hash("item_1"), F.lit(tasks)))
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     return (
-        left.join(right, "BASKET_NUM")
+        left.join(right, keys)
         .filter("item_1 < item_2")
         .groupBy("item_1", "item_2")
         .agg(F.count(F.lit(1)).alias("times_bought_together"))
@@ -72,20 +83,22 @@ def count_pairs(items: DataFrame, top_n: int | None) -> DataFrame:
     items seen in fewer baskets drop out before pairs are formed. That changes
     no result; it keeps the many rare items of a long-tailed catalogue out.
     """
-    if top_n is None:
-        return _count_pairs(items)
     by_item = items.groupBy("COMMODITY").agg(F.count(F.lit(1)).alias("baskets"))
-    if by_item.count() <= SEED_ITEMS:
-        return _first_pairs(_count_pairs(items), top_n)
+    n_items = by_item.count()
+    if top_n is None:
+        return _count_pairs(items, n_items)
+    if n_items <= SEED_ITEMS:
+        return _first_pairs(_count_pairs(items, n_items), top_n)
     seeds = by_item.orderBy(F.desc("baskets"), "COMMODITY").limit(SEED_ITEMS).select("COMMODITY")
-    seed_pairs = _first_pairs(
-        _count_pairs(items.join(F.broadcast(seeds), "COMMODITY", "left_semi")), top_n
+    seed_items = items.join(F.broadcast(seeds), "COMMODITY", "left_semi")
+    bound = (
+        _first_pairs(_count_pairs(seed_items, SEED_ITEMS), top_n)
+        .agg(F.when(F.count(F.lit(1)) == top_n, F.min("times_bought_together")).otherwise(0))
+        .scalar()
     )
-    bound = seed_pairs.agg(
-        F.when(F.count(F.lit(1)) == top_n, F.min("times_bought_together")).otherwise(0)
-    ).scalar()
     frequent = by_item.filter(F.col("baskets") >= bound).select("COMMODITY")
-    return _first_pairs(_count_pairs(items.join(frequent, "COMMODITY", "left_semi")), top_n)
+    kept = items.join(frequent, "COMMODITY", "left_semi")
+    return _first_pairs(_count_pairs(kept, n_items), top_n)
 
 
 def copurchase_pairs(
