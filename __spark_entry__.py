@@ -90,12 +90,35 @@ def _csv_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.bronze(readers.read_csv(spark, path))
 
 
-def _ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+_uploads: dict[tuple[str, str], Warehouse] = {}
+
+
+def _upload(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, DataFrame]:
+    """Replace one warehouse's tables by the raw ones; each call replaces them again."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _uploads:
+        root = f"{storage_root(spark)}/larder/upload/{uuid.uuid4().hex}"
+        _uploads[at] = Warehouse(Store(spark, root))
     raw = fixture.raw_tables(spark, sf_dir)
-    store = Store(spark, f"{storage_root(spark)}/larder/ingest/{uuid.uuid4().hex}")
-    return Warehouse(store).load(
-        {t: ingest.clean(t, ingest.bronze(raw[t])) for t in ingest.LOAD_ORDER}
+    tables = {t: ingest.clean(t, ingest.bronze(raw[t])) for t in ingest.LOAD_ORDER}
+    return _uploads[at], _uploads[at].load(tables)
+
+
+def _ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upload(spark, sf_dir)[1]
+
+
+def _ingest_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _portable(_upload(spark, sf_dir)[0].star.transactions)
+
+
+def _households_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Households given twice, once as cleaned text, reduced to one row each."""
+    uploaded = ingest.clean(
+        "households", ingest.bronze(fixture.raw_tables(spark, sf_dir)["households"])
     )
+    twice = uploaded.unionByName(fixture.typed_tables(spark, sf_dir)["households"])
+    return ingest.keep_first(twice, "HSHD_NUM")
 
 
 def _pair_job(job: Callable[[Warehouse, models.PipelineModel], DataFrame], schema: str) -> Query:
@@ -220,7 +243,9 @@ def queries() -> dict[str, Query]:
         "ingest_unreadable": _on_raw(
             lambda raw: ingest.unreadable_counts("transactions", ingest.bronze(raw["transactions"]))
         ),
+        "ingest_households_first": _households_first,
         "ingest_summary": _ingest_summary,
+        "ingest_replace": _ingest_replace,
     }
     return found
 

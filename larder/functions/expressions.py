@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +110,15 @@ def cross_sell_priority(count: Column | str, high: int = 500, medium: int = 200)
     return F.when(c > high, "High").when(c > medium, "Medium").otherwise("Emerging")
 
 
+def cents(money: Column | str) -> Column:
+    """DECIMAL money in whole cents: sums per household or basket stay exact and cheap."""
+    return (_col(money) * 100).cast("bigint")
+
+
+def from_cents(total: Column | str) -> Column:
+    return (_col(total).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("double")
+
+
 def ratio(total: Column | str, count: Column | str) -> Column:
     """total / count as a double; NULL when the count is zero."""
     return F.try_divide(_col(total).cast("double"), _col(count).cast("double"))

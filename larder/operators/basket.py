@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.expressions import cross_sell_priority, not_missing
+from larder.functions.expressions import cents, cross_sell_priority, not_missing
 from larder.operators.joins import join_dimension
 from larder.sources.star import Star
 from larder.sources.store import storage_root
@@ -24,7 +24,7 @@ def top_baskets(star: Star, n: int = TOP_BASKETS) -> DataFrame:
     """The n baskets with the highest spend; ties go to the lower number."""
     return (
         star.transactions.groupBy("BASKET_NUM")
-        .agg(F.sum("SPEND").alias("spend"))
+        .agg(F.sum(cents("SPEND")).alias("spend"))
         .orderBy(F.desc("spend"), F.col("BASKET_NUM").asc_nulls_first())
         .limit(n)
         .select("BASKET_NUM")

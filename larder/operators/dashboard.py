@@ -236,7 +236,8 @@ def seasonal_ordered(seasons: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """Displayed rank 1..n of a top-n list (never more than its few rows)."""
-    return rows.select(F.row_number().over(W.orderBy(*order)).alias("rank"), *rows.columns)
+    rank = F.row_number().over(W.orderBy(*order)).cast("bigint")
+    return rows.select(rank.alias("rank"), *rows.columns)
 
 
 # Pivots ----------------------------------------------------------------------

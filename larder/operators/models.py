@@ -67,9 +67,10 @@ def _fit(pipeline: Pipeline, rows: DataFrame, columns: Sequence[str]) -> Pipelin
         needed.unpersist()
 
 
-def train_clv(features: DataFrame) -> PipelineModel:
-    """Boosted trees for total spend."""
-    rows = features.filter(is_training("HSHD_NUM")).withColumn("label", F.col("total_spend"))
+def train_clv(features: DataFrame, max_rows: int | None = None) -> PipelineModel:
+    """Boosted trees for total spend, on a sample of households if `max_rows` is given."""
+    rows = features if max_rows is None else sample_rows(features, max_rows)
+    rows = rows.filter(is_training("HSHD_NUM")).withColumn("label", F.col("total_spend"))
     return _fit(_gbt(CLV_FEATURES), rows, (*CLV_FEATURES, "label"))
 
 
@@ -82,9 +83,10 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", n / (F.when(both, 2).otherwise(1) * of_class))
 
 
-def train_churn(features: DataFrame) -> PipelineModel:
+def train_churn(features: DataFrame, max_rows: int | None = None) -> PipelineModel:
     """Balanced random forest for more than 90 days without a purchase."""
-    rows = features.filter(is_training("HSHD_NUM")).withColumn("label", churned("recency"))
+    rows = features if max_rows is None else sample_rows(features, max_rows)
+    rows = rows.filter(is_training("HSHD_NUM")).withColumn("label", churned("recency"))
     weighted = balanced_weights(rows.select(*CHURN_FEATURES, "label"))
     weighted = weighted.withMetadata("label", TWO_CLASSES)
     forest = Pipeline(

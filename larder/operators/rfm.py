@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larder.functions.expressions import children_flag, churned, correlation_direction
+from larder.functions.expressions import (
+    cents,
+    children_flag,
+    churned,
+    correlation_direction,
+    from_cents,
+)
 from larder.functions.labels import CORRELATION_LABELS
 from larder.operators.joins import join_dimension
 from larder.sources.star import Star, is_small
@@ -27,15 +33,15 @@ def rfm(star: Star) -> DataFrame:
     """
     snapshot = snapshot_date(star).scalar()
     cut = snapshot_date(star).select(F.add_months("snap_date", -6)).scalar()
-    zero = F.lit(0).cast("decimal(10,2)")
+    lines = star.transactions.withColumn("cents", cents("SPEND"))
 
     def spend_when(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("SPEND")).otherwise(zero)).cast("double")
+        return from_cents(F.sum(F.when(condition, F.col("cents")).otherwise(0)))
 
-    totals = star.transactions.groupBy("HSHD_NUM").agg(
+    totals = lines.groupBy("HSHD_NUM").agg(
         F.max("PURCHASE_DATE").alias("last_purchase"),
         F.count_distinct("BASKET_NUM").alias("frequency"),
-        F.sum("SPEND").cast("double").alias("total_spend"),
+        from_cents(F.sum("cents")).alias("total_spend"),
         F.sum("UNITS").alias("total_units"),
         spend_when(F.col("PURCHASE_DATE") >= cut).alias("recent_spend"),
         spend_when(F.col("PURCHASE_DATE") < cut).alias("older_spend"),

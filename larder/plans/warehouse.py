@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.ml import PipelineModel
@@ -99,7 +100,11 @@ class Warehouse:
         return self.model("pairs", lambda: models.train_pairs(self.pair_features()))
 
     def predictions(self) -> DataFrame:
-        return self.table(
-            "predictions",
-            lambda: models.predictions(self.features(), self.clv_model(), self.churn_model()),
-        )
+        return self.table("predictions", self._score)
+
+    def _score(self) -> DataFrame:
+        """Both models are fitted at a time: their many short jobs fill each other's gaps."""
+        features = self.features()
+        with ThreadPoolExecutor(2) as pool:
+            clv, churn = pool.submit(self.clv_model), pool.submit(self.churn_model)
+            return models.predictions(features, clv.result(), churn.result())

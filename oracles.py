@@ -283,6 +283,14 @@ INGEST = {
 }
 
 
+INGEST["ingest_replace"] = INGEST["ingest_clean"]
+INGEST["ingest_households_first"] = (
+    f"SELECT {', '.join(_HH)} FROM (SELECT *, row_number() OVER (PARTITION BY HSHD_NUM ORDER BY "
+    + ", ".join(f"{c} NULLS FIRST" for c in _HH[1:])
+    + f") AS n FROM ({INGEST['ingest_clean_households']} UNION ALL SELECT * FROM households)) WHERE n = 1"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     for group, ctes in (

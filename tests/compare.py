@@ -38,11 +38,19 @@ def differences(spark_rows, spark_names, duck_rows, duck_names) -> str:
     return ""
 
 
+# DuckDB's names of Spark's result types.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
 def check(spark, con, sf_dir: str, name: str, query, sql: str) -> str:
     df = query(spark, sf_dir)
     mine = [tuple(r) for r in df.collect()]
     found = con.execute(sql)
     names = [d[0] for d in found.description]
+    kinds = {d[0]: str(d[1]) for d in found.description}
+    wrong = [f"{c} {k} / {kinds.get(c)}" for c, k in df.dtypes if TYPES.get(k) != kinds.get(c)]
+    if wrong:
+        return f"types {wrong}"
     return differences(mine, df.columns, found.fetchall(), names)
 
 
