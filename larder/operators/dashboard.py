@@ -51,16 +51,19 @@ def _with_products(star: Star, fact: DataFrame, *columns: Column | str) -> DataF
     return join_dimension(fact, dim, "PRODUCT_NUM", star.products_fit)
 
 
-def _spend_by_product(star: Star, *keys: Column | str) -> DataFrame:
-    """PRODUCT_NUM, keys, SPEND and LINES: one row per line when products are
-    broadcast, else pre-summed so that the join moves one row per product."""
+def _spend_by(star: Star, name: str, *keys: str) -> DataFrame:
+    """A product column, keys, SPEND and LINES, to be summed further.
+
+    One row per line when products are broadcast; else summed per product before
+    the join, which then moves a row per product and key and meets no hot product.
+    """
     lines = star.transactions.select("PRODUCT_NUM", *keys, "SPEND")
     if star.products_fit:
-        return lines.withColumn("LINES", F.lit(1))
-    names = [c for c in lines.columns if c != "SPEND"]
-    return lines.groupBy(*names).agg(
+        return _with_products(star, lines.withColumn("LINES", F.lit(1)), name)
+    sums = lines.groupBy("PRODUCT_NUM", *keys).agg(
         F.sum("SPEND").alias("SPEND"), F.count(F.lit(1)).alias("LINES")
     )
+    return sums.join(star.products.select("PRODUCT_NUM", name), "PRODUCT_NUM")
 
 
 # Summaries -------------------------------------------------------------------
@@ -100,9 +103,9 @@ def weekly(star: Star) -> DataFrame:
 
 
 def dept_year(star: Star) -> DataFrame:
-    rows = _spend_by_product(star, "YEAR").filter(F.col("YEAR").isNotNull())
     return (
-        _with_products(star, rows, "DEPARTMENT")
+        _spend_by(star, "DEPARTMENT", "YEAR")
+        .filter(F.col("YEAR").isNotNull())
         .groupBy("DEPARTMENT", "YEAR")
         .agg(_sum("total_spend"))
         .orderBy("YEAR", F.desc("total_spend"), "DEPARTMENT")
@@ -119,11 +122,10 @@ def seasonal(star: Star) -> DataFrame:
 
 def seasonal_commodity(star: Star) -> DataFrame:
     """Spend per season and department; the first 20 by season name, then spend."""
-    rows = _spend_by_product(star, "WEEK_NUM").filter(F.col("WEEK_NUM").isNotNull())
-    rows = rows.withColumn("season", season("WEEK_NUM"))
     return (
-        _with_products(star, rows, "DEPARTMENT")
-        .groupBy("season", "DEPARTMENT")
+        _spend_by(star, "DEPARTMENT", "WEEK_NUM")
+        .filter(F.col("WEEK_NUM").isNotNull())
+        .groupBy(season("WEEK_NUM").alias("season"), "DEPARTMENT")
         .agg(_sum("total_spend"))
         .orderBy("season", F.desc("total_spend"), "DEPARTMENT")
         .limit(20)
@@ -132,7 +134,7 @@ def seasonal_commodity(star: Star) -> DataFrame:
 
 def brand(star: Star) -> DataFrame:
     return (
-        _with_products(star, _spend_by_product(star), "BRAND_TY")
+        _spend_by(star, "BRAND_TY")
         .filter(not_missing("BRAND_TY"))
         .groupBy("BRAND_TY")
         .agg(_sum("total_spend"), F.sum("LINES").alias("transaction_count"))
@@ -152,11 +154,13 @@ def organic(star: Star) -> DataFrame:
 def brand_income(star: Star) -> DataFrame:
     lines = star.transactions.select("PRODUCT_NUM", "HSHD_NUM", "SPEND")
     brands = _with_products(star, lines, "BRAND_TY").filter(not_missing("BRAND_TY"))
-    if not star.households_fit:
-        brands = brands.groupBy("HSHD_NUM", "BRAND_TY").agg(F.sum("SPEND").alias("SPEND"))
+    if star.households_fit:
+        rows = _with_households(star, brands, "INCOME_RANGE")
+    else:
+        sums = brands.groupBy("HSHD_NUM", "BRAND_TY").agg(F.sum("SPEND").alias("SPEND"))
+        rows = sums.join(star.households.select("HSHD_NUM", "INCOME_RANGE"), "HSHD_NUM")
     return (
-        _with_households(star, brands, "INCOME_RANGE")
-        .filter(not_missing("INCOME_RANGE"))
+        rows.filter(not_missing("INCOME_RANGE"))
         .groupBy("INCOME_RANGE", "BRAND_TY")
         .agg(_sum("total_spend"))
         .orderBy("INCOME_RANGE", "BRAND_TY")
@@ -174,11 +178,7 @@ def dept(star: Star) -> DataFrame:
 
 
 def _commodity_spend(star: Star) -> DataFrame:
-    return (
-        _with_products(star, _spend_by_product(star), "COMMODITY")
-        .groupBy("COMMODITY")
-        .agg(_sum("total_spend"))
-    )
+    return _spend_by(star, "COMMODITY").groupBy("COMMODITY").agg(_sum("total_spend"))
 
 
 def commodity(star: Star) -> DataFrame:
@@ -198,11 +198,7 @@ def _top_name(ranked: DataFrame, name: str) -> DataFrame:
 
 
 def kpi_top_department(star: Star) -> DataFrame:
-    rows = (
-        _with_products(star, _spend_by_product(star), "DEPARTMENT")
-        .groupBy("DEPARTMENT")
-        .agg(_sum("total_spend"))
-    )
+    rows = _spend_by(star, "DEPARTMENT").groupBy("DEPARTMENT").agg(_sum("total_spend"))
     return _top_name(rows, "DEPARTMENT")
 
 
@@ -219,9 +215,7 @@ def weekly_labels(weeks: DataFrame) -> DataFrame:
 
 def organic_labelled(flags: DataFrame) -> DataFrame:
     """`organic` with every flag but 'Y' shown as Non-Organic."""
-    return flags.select(
-        organic_label("NATURAL_ORGANIC_FLAG").alias("label"), *flags.columns
-    )
+    return flags.select(organic_label("NATURAL_ORGANIC_FLAG").alias("label"), *flags.columns)
 
 
 def seasonal_ordered(seasons: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -25,10 +26,15 @@ RANGES = 1000
 
 
 class Range(NamedTuple):
-    """Rows whose column lies in lo..hi, or is NULL when both are None."""
+    """Rows whose column lies in lo..hi, or is NULL when both are None.
+
+    The next column lies in next_lo..next_hi there.
+    """
 
     lo: Any
     hi: Any
+    next_lo: Any
+    next_hi: Any
     rows: int
 
 
@@ -62,16 +68,23 @@ def _range_key(name: str, kind: str, lo: Any, hi: Any) -> Column:
     return F.floor((number.cast("double") - low) / (high - low) * (RANGES - 1))
 
 
-def _count_ranges(rows: DataFrame, name: str, lo: Any, hi: Any) -> list[Range]:
-    """Non-empty ranges of a column, NULL first, then rising."""
-    kind = dict(rows.dtypes)[name]
+def _count_ranges(rows: DataFrame, columns: Sequence[str], lo: Any, hi: Any) -> list[Range]:
+    """Non-empty ranges of the first column, NULL first, then rising; one pass."""
+    name, after = columns[0], columns[min(1, len(columns) - 1)]
+    key = _range_key(name, dict(rows.dtypes)[name], lo, hi)
     found = (
-        rows.groupBy(_range_key(name, kind, lo, hi).alias("range"))
-        .agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(F.lit(1)).alias("n"))
+        rows.groupBy(key.alias("range"))
+        .agg(
+            F.min(name).alias("lo"),
+            F.max(name).alias("hi"),
+            F.min(after).alias("next_lo"),
+            F.max(after).alias("next_hi"),
+            F.count(F.lit(1)).alias("rows"),
+        )
         .orderBy(F.col("lo").asc_nulls_first())
         .collect()
     )
-    return [Range(r["lo"], r["hi"], r["n"]) for r in found]
+    return [Range(*r[1:]) for r in found]
 
 
 class Part(NamedTuple):
@@ -112,7 +125,13 @@ def _touched(ranges: list[Range], skip: int, take: int, most: int) -> list[Part]
 
 
 def _narrow(
-    rows: DataFrame, columns: Sequence[str], descending: bool, skip: int, take: int, most: int
+    rows: DataFrame,
+    columns: Sequence[str],
+    descending: bool,
+    bounds: tuple[Any, Any],
+    skip: int,
+    take: int,
+    most: int,
 ) -> list[Slice]:
     """Slices of at most `most` rows each that make up the page in order.
 
@@ -121,19 +140,21 @@ def _narrow(
     if not columns:
         return [Slice(rows, 0, take)]
     name, *ties = columns
-    lo, hi = rows.agg(F.min(name), F.max(name)).first()
-    ranges = _count_ranges(rows, name, lo, hi)
+    ranges = _count_ranges(rows, columns, *bounds)
     if descending:
         ranges.reverse()
     slices = []
     for part in _touched(ranges, skip, take, most):
         inside = rows.filter(part.holds(name))
+        first = part.ranges[0]
         if part.rows <= most:
             slices.append(Slice(inside, part.skip, part.take))
-        elif part.ranges[0].lo == part.ranges[0].hi:
-            slices += _narrow(inside, ties, False, part.skip, part.take, most)
+            continue
+        if first.lo == first.hi:
+            left, down, within = ties, False, (first.next_lo, first.next_hi)
         else:
-            slices += _narrow(inside, columns, descending, part.skip, part.take, most)
+            left, down, within = columns, descending, (first.lo, first.hi)
+        slices += _narrow(inside, left, down, within, part.skip, part.take, most)
     return slices
 
 
@@ -148,11 +169,11 @@ def page_of(
     """`take` rows after the first `skip`, ordered by `columns`."""
     order = order_by(columns, descending)
     most = max(most, take)
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min(columns[0]), F.max(columns[0])).first()
     slices = [Slice(rows, skip, take)]
-    if rows.count() > most:
-        slices = _narrow(rows, columns, descending, skip, take, most) or [Slice(rows.limit(0), 0, take)]
-    page = None
-    for s in slices:
-        part = s.rows.orderBy(*order).offset(s.skip).limit(s.take)
-        page = part if page is None else page.unionByName(part)
-    return page
+    if skip >= n:
+        slices = [Slice(rows.limit(0), 0, take)]
+    elif n > most:
+        slices = _narrow(rows, columns, descending, (lo, hi), skip, take, most)
+    parts = [s.rows.orderBy(*order).offset(s.skip).limit(s.take) for s in slices]
+    return reduce(DataFrame.unionByName, parts)

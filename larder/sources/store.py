@@ -31,14 +31,14 @@ def storage_root(spark: SparkSession) -> str:
 
     Only a local session without one gets a temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="larder-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
@@ -83,8 +83,13 @@ class Store:
             ).write.parquet(path)
             return name, path, seen.get["rows"], seen.get["bytes"]
 
-        with ThreadPoolExecutor(WRITES_AT_ONCE) as pool:
-            done = list(pool.map(put, tables.items()))
+        try:
+            with ThreadPoolExecutor(WRITES_AT_ONCE) as pool:
+                done = list(pool.map(put, tables.items()))
+        except Exception:
+            for name in tables:
+                self._delete(f"{self.root}/data/{name}/{version}")
+            raise
         return self._commit(done)
 
     def stage(self, df: DataFrame) -> tuple[str, int]:
