@@ -71,16 +71,20 @@ def _range_key(name: str, kind: str, lo: Any, hi: Any) -> Column:
 def _count_ranges(rows: DataFrame, columns: Sequence[str], lo: Any, hi: Any) -> list[Range]:
     """Non-empty ranges of the first column, NULL first, then rising; one pass."""
     name, after = columns[0], columns[min(1, len(columns) - 1)]
-    key = _range_key(name, dict(rows.dtypes)[name], lo, hi)
+    kind = dict(rows.dtypes)[name]
+    counted = rows.select(
+        F.col(name).alias("value"),
+        F.col(after).alias("next_lo"),
+        F.col(after).alias("next_hi"),
+        F.lit(1).alias("rows"),
+    )
+    sums = [F.min("next_lo").alias("next_lo"), F.max("next_hi").alias("next_hi"), F.sum("rows").alias("rows")]
+    if kind == "string":
+        # Texts repeat: one row per text first, as the least text of a group needs a sort.
+        counted = counted.groupBy("value").agg(*sums)
     found = (
-        rows.groupBy(key.alias("range"))
-        .agg(
-            F.min(name).alias("lo"),
-            F.max(name).alias("hi"),
-            F.min(after).alias("next_lo"),
-            F.max(after).alias("next_hi"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+        counted.groupBy(_range_key("value", kind, lo, hi).alias("range"))
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *sums)
         .orderBy(F.col("lo").asc_nulls_first())
         .collect()
     )
