@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.expressions import churned, risk_segment
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS, segment_dim
+from larder.operators.paging import page_of
 
 # Model inputs in order, sizes and seed.
 CLV_FEATURES = (
@@ -45,8 +46,9 @@ def is_training(*keys: str) -> Column:
 
 
 def sample_rows(features: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most n households, chosen by a hash: the capped training set."""
-    return features.orderBy(F.xxhash64("HSHD_NUM", F.lit(SEED)), "HSHD_NUM").limit(n)
+    """At most n households, those with the lowest hashes: the capped training set."""
+    drawn = features.withColumn("draw", F.xxhash64("HSHD_NUM", F.lit(SEED)))
+    return page_of(drawn, ["draw", "HSHD_NUM"], False, 0, n).drop("draw")
 
 
 def _gbt(inputs: Sequence[str]) -> Pipeline:

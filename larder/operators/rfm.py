@@ -52,20 +52,37 @@ def rfm(star: Star) -> DataFrame:
 def category_codes(households: DataFrame) -> DataFrame:
     """name, value, code: the sorted texts of each demographic column as 0..k-1.
 
-    A missing text is 'None'. The window sees the few distinct texts per column.
+    A missing text is 'None'. A text's code is its place in its sorted partition
+    plus the texts in the partitions before, so no task sees more than its own part
+    however many texts there are. The sorted texts are written out first: both uses
+    of them must see the same partitions.
     """
     cells = [
         F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit("None")).alias("value"))
         for c in ENCODED
     ]
+    storage_root(households.sparkSession)
     values = households.select(F.inline(F.array(*cells))).distinct()
-    code = F.dense_rank().over(W.partitionBy("name").orderBy("value")) - 1
-    return values.select("name", "value", code.cast("int").alias("code"))
+    placed = values.orderBy("name", "value").checkpoint().select(
+        "name",
+        "value",
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    sizes = placed.groupBy("name", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first")
+    )
+    earlier = W.partitionBy("name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(
+        "name", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return placed.join(F.broadcast(shifts), ["name", "part"]).select(
+        "name", "value", (F.col("place") + F.col("shift")).cast("int").alias("code")
+    )
 
 
 def encoded_households(households: DataFrame) -> DataFrame:
     """HSHD_NUM with the encoded demographics and the 'Y' flag of CHILDREN."""
-    storage_root(households.sparkSession)
     codes = category_codes(households).checkpoint()
     keyed = households.filter(F.col("HSHD_NUM").isNotNull()).select(
         "HSHD_NUM",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.sources.ingest import check_unique
 from larder.sources.store import Store, row_bytes
 
 # A dimension is broadcast only when its measured size stays below this.
@@ -21,6 +22,8 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 @dataclass(frozen=True)
 class Star:
+    """Dimension keys are unique; `..._fit` tells whether a dimension may be broadcast."""
+
     transactions: DataFrame
     households: DataFrame
     products: DataFrame
@@ -35,7 +38,9 @@ class Star:
         products: DataFrame,
         broadcast_bytes: int = BROADCAST_BYTES,
     ) -> Star:
-        """From any frames; measures the two dimensions with one pass each."""
+        """From any frames; checks and measures the two dimensions."""
+        check_unique("households", households)
+        check_unique("products", products)
         return cls(
             transactions,
             households,

@@ -1,5 +1,6 @@
 import datetime as dt
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 
@@ -150,3 +151,11 @@ def test_files_are_ordered_by_household(spark, store):
         )
     )
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_database_reads_are_partitioned():
+    """The reader's arguments only; no database is started."""
+    seen = {}
+    reader = SimpleNamespace(jdbc=lambda url, table, **options: seen.update(url=url, table=table, **options))
+    readers.read_jdbc(SimpleNamespace(read=reader), "jdbc:x", "transactions", "HSHD_NUM", 1, 5000, 16)
+    assert (seen["column"], seen["lowerBound"], seen["upperBound"], seen["numPartitions"]) == ("HSHD_NUM", 1, 5000, 16)

@@ -46,6 +46,12 @@ def test_sample(spark):
     assert len(chosen) == 10
     assert chosen == {r[0] for r in models.sample_rows(df.repartition(7), 10).collect()}
     assert models.sample_rows(df).count() == 100
+    hashed = df.select("HSHD_NUM", F.xxhash64("HSHD_NUM", F.lit(42)).alias("h")).collect()
+    assert chosen == {r["HSHD_NUM"] for r in sorted(hashed, key=lambda r: r["h"])[:10]}
+
+
+def test_capped_training(features):
+    assert models.train_churn(features, max_rows=50).stages[-1].getNumTrees == 50
 
 
 def test_clv_learns(features, tmp_path):

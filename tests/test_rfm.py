@@ -50,6 +50,20 @@ def test_features(star):
     assert [twelve[c] for c in (*rfm.ENCODED, "CHILDREN", "recency", "total_units")] == [0] * 7
 
 
+def test_codes_of_many_texts(spark):
+    """Codes run through all partitions in text order."""
+    texts = [f"{(i * 7919) % 100_000:05}" for i in range(5000)]
+    households = spark.createDataFrame([(t, t[:1], None, "x") for t in texts], "INCOME_RANGE string, AGE_RANGE string, HH_SIZE string, L string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = rfm.category_codes(households.repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, values in (("INCOME_RANGE", texts), ("AGE_RANGE", {t[:1] for t in texts}), ("HH_SIZE", ["None"]), ("L", ["x"])):
+        found = sorted((r["code"], r["value"]) for r in rows if r["name"] == name)
+        assert found == list(enumerate(sorted(set(values))))
+
+
 def test_churn_figures(spark):
     features = spark.createDataFrame(
         [(i, 80 + i * 5, i % 3 + 1, float(i), 2.0, float(i * i)) for i in range(8)],
