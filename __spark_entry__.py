@@ -166,6 +166,7 @@ def queries() -> dict[str, Query]:
         # baskets
         "basket": _on(lambda w: w.pairs(10)),
         "basket_pairs_100": _on(lambda w: w.pairs(100)),
+        "basket_pairs_20": _on(lambda w: basket.best_pairs(w.pairs(100), 20)),
         "basket_all_pairs": _on(lambda w: w.pairs(None)),
         "basket_ranked": _on(
             lambda w: dashboard.ranked(w.pairs(10), F.desc("times_bought_together"), F.col("item_1"), F.col("item_2"))
@@ -176,7 +177,10 @@ def queries() -> dict[str, Query]:
         "basket_pair_features": _on(
             lambda w: basket.pair_features(w.pairs(100), basket.commodity_stats(w.star))
         ),
-        "cross_sell_priority": _on(lambda w: basket.with_priority(w.pairs(None), high=60, medium=50)),
+        "cross_sell_priority": _on(lambda w: basket.with_priority(w.pairs(None))),
+        "cross_sell_priority_low_cuts": _on(
+            lambda w: basket.with_priority(w.pairs(None), high=60, medium=50)
+        ),
         # households
         "snapshot_date": _on(lambda w: rfm.snapshot_date(w.star)),
         "rfm": _on(lambda w: rfm.rfm(w.star)),
@@ -207,6 +211,9 @@ def queries() -> dict[str, Query]:
         ),
         # models
         "churn_predictions": _on(lambda w: models.by_churn(w.predictions())),
+        "churn_prediction_inputs": _on(
+            lambda w: w.predictions().select("HSHD_NUM", "recency", "frequency", "total_spend")
+        ),
         "prediction_display": _on(lambda w: models.prediction_display(w.predictions())),
         "top_clv": _on(lambda w: models.top_clv(w.predictions())),
         "churn_counts": _on(lambda w: models.churn_counts(w.predictions())),

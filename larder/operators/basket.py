@@ -69,7 +69,8 @@ def _count_pairs(items: DataFrame, n_items: int) -> DataFrame:
     )
 
 
-def _first_pairs(pairs: DataFrame, n: int) -> DataFrame:
+def best_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """The n most frequent pairs; ties go by name."""
     return pairs.orderBy(F.desc("times_bought_together"), "item_1", "item_2").limit(n)
 
 
@@ -88,17 +89,17 @@ def count_pairs(items: DataFrame, top_n: int | None) -> DataFrame:
     if top_n is None:
         return _count_pairs(items, n_items)
     if n_items <= SEED_ITEMS:
-        return _first_pairs(_count_pairs(items, n_items), top_n)
+        return best_pairs(_count_pairs(items, n_items), top_n)
     seeds = by_item.orderBy(F.desc("baskets"), "COMMODITY").limit(SEED_ITEMS).select("COMMODITY")
     seed_items = items.join(F.broadcast(seeds), "COMMODITY", "left_semi")
     bound = (
-        _first_pairs(_count_pairs(seed_items, SEED_ITEMS), top_n)
+        best_pairs(_count_pairs(seed_items, SEED_ITEMS), top_n)
         .agg(F.when(F.count(F.lit(1)) == top_n, F.min("times_bought_together")).otherwise(0))
         .scalar()
     )
     frequent = by_item.filter(F.col("baskets") >= bound).select("COMMODITY")
     kept = items.join(frequent, "COMMODITY", "left_semi")
-    return _first_pairs(_count_pairs(kept, n_items), top_n)
+    return best_pairs(_count_pairs(kept, n_items), top_n)
 
 
 def copurchase_pairs(

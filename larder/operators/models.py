@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.expressions import churned, risk_segment
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS, segment_dim
+from larder.operators.basket import best_pairs
 from larder.operators.paging import page_of
 
 # Model inputs in order, sizes and seed.
@@ -206,8 +207,7 @@ def prediction_display(scored: DataFrame) -> DataFrame:
 
 def pair_predictions(pairs: DataFrame, model: PipelineModel, n: int = 20) -> DataFrame:
     """The first n pairs with the model's count."""
-    first = pairs.orderBy(F.desc("times_bought_together"), "item_1", "item_2").limit(n)
-    return model.transform(first).select(
+    return model.transform(best_pairs(pairs, n)).select(
         "item_1",
         "item_2",
         "times_bought_together",

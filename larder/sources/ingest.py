@@ -88,21 +88,23 @@ def keep_first(df: DataFrame, key: str) -> DataFrame:
 
 
 def cluster(transactions: DataFrame, rows: int) -> DataFrame:
-    """Order files by household and basket.
+    """Order files by household and basket; `transactions` is a written table.
 
     A household lookup then skips nearly all files by their min/max values, and
-    map-side aggregation by household or basket meets its rows together. The
-    product key lets the range split go on inside one very large basket.
+    map-side aggregation by household or basket meets its rows together. Product
+    and row number let the range split go on inside one very large basket and
+    inside many copies of one line.
     """
-    keys = ("HSHD_NUM", "BASKET_NUM", "PRODUCT_NUM")
+    keys = ("HSHD_NUM", "BASKET_NUM", "PRODUCT_NUM", "row")
+    numbered = transactions.withColumn("row", F.monotonically_increasing_id())
     width = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = -(-rows // ROWS_PER_FILE)
     ranges = (
-        transactions.repartitionByRange(wanted, *keys)
+        numbered.repartitionByRange(wanted, *keys)
         if wanted > width
-        else transactions.repartitionByRange(*keys)
+        else numbered.repartitionByRange(*keys)
     )
-    return ranges.sortWithinPartitions("HSHD_NUM", "BASKET_NUM")
+    return ranges.sortWithinPartitions("HSHD_NUM", "BASKET_NUM").drop("row")
 
 
 def replace_tables(store: Store, tables: dict[str, DataFrame | None]) -> DataFrame:

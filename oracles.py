@@ -83,9 +83,18 @@ stats AS (
 
 PAIRS_10 = "SELECT * FROM pairs ORDER BY times_bought_together DESC, item_1, item_2 LIMIT 10"
 
+
+def _priority(high: int, medium: int) -> str:
+    return (
+        f"SELECT item_1, item_2, times_bought_together, CASE WHEN times_bought_together > {high} THEN 'High' "
+        f"WHEN times_bought_together > {medium} THEN 'Medium' ELSE 'Emerging' END AS priority FROM pairs"
+    )
+
+
 BASKETS = {
     "basket": PAIRS_10,
     "basket_pairs_100": "SELECT * FROM pairs_100",
+    "basket_pairs_20": "SELECT * FROM pairs_100 ORDER BY times_bought_together DESC, item_1, item_2 LIMIT 20",
     "basket_all_pairs": "SELECT * FROM pairs",
     "basket_ranked": "SELECT row_number() OVER (ORDER BY times_bought_together DESC, item_1, item_2) AS rank, * "
     f"FROM ({PAIRS_10})",
@@ -99,8 +108,8 @@ SELECT item_1, item_2, times_bought_together, freq_1, freq_2, spend_1, spend_2,
 FROM (SELECT q.*, coalesce(x.basket_count, 0) AS freq_1, coalesce(y.basket_count, 0) AS freq_2,
        coalesce(x.total_spend, 0.0) AS spend_1, coalesce(y.total_spend, 0.0) AS spend_2
       FROM pairs_100 q LEFT JOIN stats x ON q.item_1 = x.COMMODITY LEFT JOIN stats y ON q.item_2 = y.COMMODITY)""",
-    "cross_sell_priority": "SELECT item_1, item_2, times_bought_together, CASE WHEN times_bought_together > 60 "
-    "THEN 'High' WHEN times_bought_together > 50 THEN 'Medium' ELSE 'Emerging' END AS priority FROM pairs",
+    "cross_sell_priority": _priority(500, 200),
+    "cross_sell_priority_low_cuts": _priority(60, 50),
 }
 
 DETAIL = f"""
@@ -179,6 +188,7 @@ HOUSEHOLD_QUERIES = {
     "household_features": f"SELECT {DATES_AS_TEXT} FROM features",
     "household_codes": "SELECT HSHD_NUM, CAST(INCOME_RANGE AS INTEGER) AS INCOME_RANGE, CAST(AGE_RANGE AS INTEGER) "
     "AS AGE_RANGE, CAST(HH_SIZE AS INTEGER) AS HH_SIZE, CAST(L AS INTEGER) AS L, CHILDREN FROM codes",
+    "churn_prediction_inputs": "SELECT HSHD_NUM, recency, frequency, total_spend FROM features",
     "churn_rate": "SELECT round(avg(churned), 6) AS churn_rate FROM labelled",
     "churn_correlations": CORRELATIONS,
     "churn_correlation_directions": "SELECT *, CASE WHEN correlation > 0 THEN 'raises risk' ELSE 'protective' END "
@@ -291,6 +301,29 @@ INGEST["ingest_households_first"] = (
 )
 
 
+# Rows of each result a refresh writes.
+_ROWS = {name: f"SELECT count(*) FROM ({query})" for name, query in (SUMMARIES | {"basket": PAIRS_10}).items()} | {
+    "top_clv": "SELECT least(10, count(*)) FROM features",
+    "churn_counts": "SELECT 3",
+    "avg_clv": "SELECT 1",
+    "high_risk_count": "SELECT 1",
+    "churn_stats": "SELECT 1",
+    "churn_importances": "SELECT 7",
+    "churn_correlations": "SELECT 5",
+    "churn_rate": "SELECT 1",
+    "churn_report": "SELECT 5",
+    "basket_model": "SELECT least(20, count(*)) FROM pairs_100",
+    "basket_importances": "SELECT 6",
+    "basket_model_summary": "SELECT 1",
+}
+
+REFRESH = {
+    "refresh_all": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", CAST(({rows}) AS BIGINT) AS \"rows\"" for name, rows in _ROWS.items()
+    )
+}
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     for group, ctes in (
@@ -300,6 +333,7 @@ def oracle_sql() -> dict[str, str]:
         (HOUSEHOLD_QUERIES, f"{TYPED},{RFM_CTES}"),
         (DISPLAYS, TYPED),
         (INGEST, f"{TYPED},\n{RAW}"),
+        (REFRESH, f"{TYPED},{BASKET_CTES},{RFM_CTES}"),
     ):
         for name, query in group.items():
             sql[name] = f"WITH {ctes}\n{query}"

@@ -153,6 +153,20 @@ def test_files_are_ordered_by_household(spark, store):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_copies_of_one_line_spread_over_files(spark, store):
+    rows = frame(spark, "transactions", [line(1, 1, 1, 1)] * 3000 + [line(b, b, 1, 1) for b in range(6000)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path, n = store.stage(rows)
+        store.write({"transactions": ingest.cluster(spark.read.parquet(path), n)})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = store.read("transactions")
+    sizes = [spark.read.parquet(f).count() for f in written.inputFiles()]
+    assert sum(sizes) == 9000 and len(sizes) >= 7 and max(sizes) < 2000
+    assert written.columns == rows.columns
+
+
 def test_database_reads_are_partitioned():
     """The reader's arguments only; no database is started."""
     seen = {}
