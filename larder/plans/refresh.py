@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS
-from larder.operators import basket, dashboard, models, rfm
+from larder.operators import dashboard, models, rfm
 from larder.plans.warehouse import Warehouse
 from larder.sources import ingest
 

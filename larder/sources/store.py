@@ -96,7 +96,11 @@ class Store:
         """Write a frame aside; its folder and row count."""
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        except Exception:
+            self._delete(path)
+            raise
         return path, seen.get["rows"]
 
     def discard(self, staged: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.labels import CHURN_FEATURE_LABELS, RETENTION_STRATEGIES
 from larder.operators import models
+from larder.sources.store import Store
 from tests.conftest import tuples
 
 SCORES = "HSHD_NUM bigint, clv_score double, churn_prob double, risk_segment string, recency int, frequency bigint, total_spend double"
@@ -70,7 +71,9 @@ def test_churn_learns_and_repeats(spark, features, tmp_path):
     assert report["0"]["support"] + report["1"]["support"] == report["accuracy"]["support"]
     shares = models.importances(spark, model, CHURN_FEATURE_LABELS).collect()
     assert shares[0]["feature"] == "Visit Frequency"
-    again = saved(models.train_churn(features), tmp_path / "b")
+    store = Store(spark, str(tmp_path / "store"))
+    store.save_model("churn", models.train_churn(features))
+    again = store.load_model("churn")
     assert tuples(models.churn_scores(features, again)) == tuples(models.churn_scores(features, model))
 
 
