@@ -12,6 +12,7 @@ from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS
 from larder.operators import dashboard, models, rfm
 from larder.plans.warehouse import Warehouse
 from larder.sources import ingest
+from larder.sources.store import utc_now
 
 # Fixed value: results younger than this are reused.
 MAX_AGE_SECONDS = 1800
@@ -95,7 +96,7 @@ def pair_results(warehouse: Warehouse) -> dict[str, DataFrame]:
 
 def is_fresh(warehouse: Warehouse, now: dt.datetime | None = None) -> bool:
     """All dashboard results exist, follow the last load and are young enough."""
-    oldest = (now or dt.datetime.now()) - dt.timedelta(seconds=MAX_AGE_SECONDS)
+    oldest = (now or utc_now()) - dt.timedelta(seconds=MAX_AGE_SECONDS)
     return all(warehouse.is_current(name, not_before=oldest) for name in DASHBOARD)
 
 

@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame
 
 from larder.operators import basket, models, rfm
 from larder.sources import ingest
-from larder.sources.star import Star
+from larder.sources.star import BROADCAST_BYTES, Star
 from larder.sources.store import MODEL, Entry, Store
 
 
 class Warehouse:
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, broadcast_bytes: int = BROADCAST_BYTES):
         self.store = store
+        self.broadcast_bytes = broadcast_bytes
         self._entries: dict[str, Entry] | None = None
+        # By path; a version's files never change.
+        self._frames: dict[str, DataFrame] = {}
         self._models: dict[str, PipelineModel] = {}
 
     def entries(self) -> dict[str, Entry]:
@@ -56,7 +59,10 @@ class Warehouse:
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if not self.is_current(name):
             self.write({name: build()})
-        return self.store.spark.read.parquet(self.entries()[name].path)
+        path = self.entries()[name].path
+        if path not in self._frames:
+            self._frames[path] = self.store.spark.read.parquet(path)
+        return self._frames[path]
 
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
         if not self.is_current(MODEL + name):
@@ -69,7 +75,7 @@ class Warehouse:
 
     @cached_property
     def star(self) -> Star:
-        return Star.stored(self.store)
+        return Star.stored(self.store, self.broadcast_bytes)
 
     def features(self) -> DataFrame:
         return self.table("features", lambda: rfm.household_features(self.star))

@@ -26,6 +26,10 @@ MODEL = "model:"
 MANIFEST = "table string, path string, rows bigint, bytes bigint, written_at timestamp"
 
 
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)
+
+
 def storage_root(spark: SparkSession) -> str:
     """The shared folder for written tables: the session's checkpoint folder.
 
@@ -109,7 +113,7 @@ class Store:
             self._delete(staged)
 
     def delete_old(self, before: dt.datetime) -> int:
-        """Delete the files of replaced versions written before a moment; how many.
+        """Delete the files of replaced versions written before a (zoned) moment; how many.
 
         Choose a moment that no running reader opened its tables before.
         """
@@ -133,7 +137,7 @@ class Store:
         return PipelineModel.load(self.entries()[MODEL + name].path)
 
     def _commit(self, done: list[tuple[str, str, int, int]]) -> DataFrame:
-        now = dt.datetime.now()
+        now = utc_now()
         rows = self.spark.createDataFrame([(*d, now) for d in done], MANIFEST)
         rows.coalesce(1).write.parquet(f"{self.root}/manifest/{uuid.uuid4().hex}")
         return rows
@@ -151,7 +155,15 @@ class Store:
         newest = self._manifest().groupBy("table").agg(
             F.max_by(F.struct("path", "rows", "bytes", "written_at"), "written_at").alias("e")
         )
-        return {r["table"]: Entry(**r["e"].asDict()) for r in newest.collect()}
+        return {
+            r["table"]: Entry(
+                r["e"]["path"],
+                r["e"]["rows"],
+                r["e"]["bytes"],
+                r["e"]["written_at"].astimezone(dt.timezone.utc),
+            )
+            for r in newest.collect()
+        }
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.entries()[name].path)

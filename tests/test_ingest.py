@@ -7,6 +7,7 @@ import pytest
 from larder.plans.warehouse import Warehouse
 from larder.sources import ingest, readers
 from larder.sources.star import Star
+from larder.sources.store import utc_now
 from tests.conftest import frame, line, text_frame, tuples
 
 HOUSEHOLD_HEADER = "HSHD_NUM ,L,AGE_RANGE,MARITAL,INCOME_RANGE,HOMEOWNER,HSHD_COMPOSITION,HH_SIZE,CHILDREN"
@@ -98,7 +99,7 @@ def test_load_and_replace(spark, store, files):
     assert store.read("transactions").count() == 1
 
     assert store.delete_old(first["products"].written_at) == 0
-    assert store.delete_old(dt.datetime.now()) == 3
+    assert store.delete_old(utc_now()) == 3
     assert store.read("products").count() == 2
 
 

@@ -8,6 +8,7 @@ from larder.plans import refresh
 from larder.plans.warehouse import Warehouse
 from larder.sources import fixture
 from larder.sources.ingest import IncompleteLoad
+from larder.sources.store import utc_now
 from tests.conftest import SF, tuples
 
 
@@ -29,7 +30,7 @@ def test_load_refresh_reuse_and_outdate(spark, warehouse, monkeypatch):
     assert store.entries() == first, "fresh results are kept"
     assert sorted(tuples(store.read("dept"))) == sorted(tuples(dashboard.dept(warehouse.star)))
 
-    now = dt.datetime.now()
+    now = utc_now()
     assert refresh.is_fresh(warehouse, now)
     assert not refresh.is_fresh(warehouse, now + dt.timedelta(seconds=refresh.MAX_AGE_SECONDS))
 
@@ -40,7 +41,7 @@ def test_load_refresh_reuse_and_outdate(spark, warehouse, monkeypatch):
     assert second["model:clv"].path == first["model:clv"].path, "models follow the load, not the clock"
 
     warehouse.load(fixture.typed_tables(spark, SF))
-    assert not refresh.is_fresh(warehouse, dt.datetime.now())
+    assert not refresh.is_fresh(warehouse, utc_now())
     assert not any(warehouse.is_current(n) for n in ("features", "model:clv", "predictions", "basket"))
 
     def fail(_):

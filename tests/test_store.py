@@ -1,10 +1,9 @@
-import datetime as dt
 import pathlib
 from types import SimpleNamespace
 
 import pytest
 
-from larder.sources.store import storage_root
+from larder.sources.store import storage_root, utc_now
 from tests.conftest import tuples
 
 
@@ -71,4 +70,4 @@ def test_staged_files_go(spark, store):
     store.write({"a": spark.range(2)})
     store.discard(store.entries()["a"].path)
     assert store.read("a").count() == 2
-    assert store.delete_old(dt.datetime.now()) == 0
+    assert store.delete_old(utc_now()) == 0
