@@ -12,8 +12,9 @@ from larder.sources.store import Store
 # The fact table first, then its dimensions.
 LOAD_ORDER = ("transactions", "products", "households")
 
-# Purchase lines per file of the clean table, about 128 MB.
-ROWS_PER_FILE = 5_000_000
+# Purchase lines per range of the clean table, about 1 GB: few enough ranges to
+# shuffle into. The writer cuts each into files.
+ROWS_PER_RANGE = 40_000_000
 
 
 class IncompleteLoad(ValueError):
@@ -88,7 +89,7 @@ def keep_first(df: DataFrame, key: str) -> DataFrame:
 
 
 def cluster(transactions: DataFrame, rows: int) -> DataFrame:
-    """Order files by household and basket; `transactions` is a written table.
+    """Order the files by household and basket; `transactions` is a written table.
 
     A household lookup then skips nearly all files by their min/max values, and
     map-side aggregation by household or basket meets its rows together. Product
@@ -98,7 +99,7 @@ def cluster(transactions: DataFrame, rows: int) -> DataFrame:
     keys = ("HSHD_NUM", "BASKET_NUM", "PRODUCT_NUM", "row")
     numbered = transactions.withColumn("row", F.monotonically_increasing_id())
     width = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = -(-rows // ROWS_PER_FILE)
+    wanted = -(-rows // ROWS_PER_RANGE)
     ranges = (
         numbered.repartitionByRange(wanted, *keys)
         if wanted > width
@@ -112,7 +113,7 @@ def replace_tables(store: Store, tables: dict[str, DataFrame | None]) -> DataFra
 
     Readers see the old three until the new three are committed together. The
     purchases are written aside first: ordering them reads its input twice, and
-    the number of files follows from their count.
+    the number of ranges follows from their count.
     """
     check_complete(tables)
     for name in schema.KEYS:

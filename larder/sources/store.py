@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 WRITES_AT_ONCE = 4
 
+# About 128 MB of purchase lines.
+ROWS_PER_FILE = 5_000_000
+
 # Prefix of model names in the manifest.
 MODEL = "model:"
 
@@ -80,11 +83,12 @@ class Store:
             name, df = item
             path = f"{self.root}/data/{name}/{version}"
             seen = Observation()
-            df.observe(
+            observed = df.observe(
                 seen,
                 F.count(F.lit(1)).alias("rows"),
                 F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes"),
-            ).write.parquet(path)
+            )
+            observed.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
             return name, path, seen.get["rows"], seen.get["bytes"]
 
         try:

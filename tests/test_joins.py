@@ -1,6 +1,7 @@
 """Large-dimension paths give the results of the broadcast paths, hot keys or not."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from larder.operators import basket, dashboard, detail, rfm
 from larder.operators.joins import split_hot_join
@@ -17,6 +18,27 @@ def test_hot_and_missing_keys(spark, how):
     assert sorted(tuples(split_hot_join(fact, dim, "k", how)), key=repr) == sorted(expected, key=repr)
 
 
+def test_hot_key_is_not_gathered(spark):
+    """A third of the rows share a key; no partition of the joined rows holds near as much."""
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v").repartition(8)
+    dim = spark.range(30_000).selectExpr("id AS k", "id * 2 AS w")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+    def largest(joined):
+        counts = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in counts) == 30_000
+        return max(r["count"] for r in counts)
+
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert largest(rows.join(dim, "k")) > 10_000
+        assert largest(split_hot_join(rows, dim, "k")) < 4_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 @pytest.fixture(scope="module")
 def skewed():
     """A third of the lines in one household, a third of one product, a third in one basket."""

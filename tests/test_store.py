@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from larder.sources import store as store_module
 from larder.sources.store import storage_root, utc_now
 from tests.conftest import tuples
 
@@ -51,6 +52,12 @@ def test_versions(spark, store):
     assert tuples(store.read("a")) == [] and tuples(store.read("b")) == [(1, "x")]
 
 
+def test_files_are_cut_by_rows(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "ROWS_PER_FILE", 100)
+    store.write({"a": spark.range(1000).coalesce(1)})
+    assert len(store.read("a").inputFiles()) == 10 and store.entries()["a"].rows == 1000
+
+
 def test_failed_write_changes_nothing(spark, store):
     good = spark.range(3)
     store.write({"a": good})
