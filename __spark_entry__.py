@@ -174,9 +174,7 @@ def queries() -> dict[str, Query]:
         "basket_labels": _on(lambda w: basket.pair_labels(w.pairs(10))),
         "pair_axis_max": _on(lambda w: basket.pair_axis_max(w.pairs(100))),
         "commodity_stats": _on(lambda w: basket.commodity_stats(w.star)),
-        "basket_pair_features": _on(
-            lambda w: basket.pair_features(w.pairs(100), basket.commodity_stats(w.star))
-        ),
+        "basket_pair_features": _on(lambda w: basket.top_pair_features(w.star, w.pairs(100))),
         "cross_sell_priority": _on(lambda w: basket.with_priority(w.pairs(None))),
         "cross_sell_priority_low_cuts": _on(
             lambda w: basket.with_priority(w.pairs(None), high=60, medium=50)

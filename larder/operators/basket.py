@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.expressions import cents, cross_sell_priority, not_missing
 from larder.operators.joins import join_dimension
-from larder.sources.star import Star
+from larder.sources.star import Star, is_small
 from larder.sources.store import storage_root
 
 TOP_BASKETS = 5000
@@ -110,12 +110,19 @@ def copurchase_pairs(
     return count_pairs(basket_commodities(star, baskets).checkpoint(), top_n)
 
 
-def commodity_stats(star: Star) -> DataFrame:
-    """Distinct baskets and spend per known commodity."""
+def commodity_stats(star: Star, only: DataFrame | None = None) -> DataFrame:
+    """Distinct baskets and spend per known commodity.
+
+    `only` is a short list of commodities; other lines then go before the shuffle.
+    """
     lines = star.transactions.select("PRODUCT_NUM", "BASKET_NUM", "SPEND")
     named = star.products.select("PRODUCT_NUM", "COMMODITY").filter(not_missing("COMMODITY"))
+    fits = star.products_fit
+    if only is not None:
+        named = named.join(F.broadcast(only), "COMMODITY", "left_semi")
+        fits = fits or is_small(named)
     return (
-        join_dimension(lines, named, "PRODUCT_NUM", star.products_fit)
+        join_dimension(lines, named, "PRODUCT_NUM", fits)
         .groupBy("COMMODITY")
         .agg(
             F.count_distinct("BASKET_NUM").alias("basket_count"),
@@ -154,10 +161,21 @@ def pair_features(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def top_pair_features(star: Star, pairs: DataFrame) -> DataFrame:
+    """Features of a top-n list of pairs, from the lines of its few items only."""
+    storage_root(star.transactions.sparkSession)
+    pairs = pairs.checkpoint()
+    items = pairs.select(F.explode(F.array("item_1", "item_2")).alias("COMMODITY")).distinct()
+    return pair_features(pairs, commodity_stats(star, items))
+
+
 def basket_pair_features(
     star: Star, top_n: int | None = 100, baskets: int = TOP_BASKETS
 ) -> DataFrame:
-    return pair_features(copurchase_pairs(star, top_n, baskets), commodity_stats(star))
+    pairs = copurchase_pairs(star, top_n, baskets)
+    if top_n is None:
+        return pair_features(pairs, commodity_stats(star))
+    return top_pair_features(star, pairs)
 
 
 def with_priority(pairs: DataFrame, high: int = 500, medium: int = 200) -> DataFrame:

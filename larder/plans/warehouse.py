@@ -89,8 +89,7 @@ class Warehouse:
     def pair_features(self) -> DataFrame:
         """Features of the 100 most frequent pairs."""
         return self.table(
-            "pair_features",
-            lambda: basket.pair_features(self.pairs(100), basket.commodity_stats(self.star)),
+            "pair_features", lambda: basket.top_pair_features(self.star, self.pairs(100))
         )
 
     def clv_model(self) -> PipelineModel:
