@@ -22,6 +22,13 @@ from larder.plans.warehouse import Warehouse
 from larder.sources import fixture, ingest, readers
 from larder.sources.store import Store, storage_root
 
+try:
+    from larder.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name != "larder.llm":
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _open: dict[tuple[str, str], Warehouse] = {}
@@ -252,8 +259,8 @@ def queries() -> dict[str, Query]:
         "ingest_summary": _ingest_summary,
         "ingest_replace": _ingest_replace,
     }
-    return found
+    return found | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
