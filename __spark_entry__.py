@@ -23,11 +23,12 @@ from larder.sources import fixture, ingest, readers
 from larder.sources.store import Store, storage_root
 
 try:
+    import corpus_pipeline
     from larder.llm import queries as llm
-except ModuleNotFoundError as missing:
-    if missing.name != "larder.llm":
+except ImportError as missing:
+    if missing.name not in ("corpus_pipeline", "larder.llm"):
         raise
-    llm = None
+    corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,7 +260,9 @@ def queries() -> dict[str, Query]:
         "ingest_summary": _ingest_summary,
         "ingest_replace": _ingest_replace,
     }
-    return found | (llm.queries() if llm else {})
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
