@@ -22,7 +22,7 @@ SEED = 20
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 64
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 _PROBES = 32
 
 
@@ -162,8 +162,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document of which the last round takes a part is given whole in that round; that
     concerns two documents of a shard at most. Rows of one doc_id count alike.
     """
-    times = mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).alias("times"))
-    times = staged(times, "mix-times").withColumnRenamed("doc_id", "mixed_id")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
-    copies = rows.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    # Names of their own, as the documents may have any columns.
+    times = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(
+        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times")
+    )
+    times = staged(times, "mix-times").hint("merge")
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"]))
+    copies = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return copies.select(*[docs[c] for c in docs.columns])

@@ -234,10 +234,10 @@ def masked(text: Column, spans: Column) -> Column:
 def masked_documents(docs: DataFrame) -> DataFrame:
     """All documents, personal data masked, with the columns of the input."""
     spans = _all_spans(staged(_scored(docs), "pii-spans")).filter("size(all) > 0")
-    spans = spans.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.max("all").alias("all"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("own_key", key).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("of_key")), "left"
-    )
-    text = F.when(F.col("all").isNotNull(), masked(F.col("text"), F.col("all"))).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else joined[c] for c in docs.columns])
+    # Names of their own, as the documents may have any columns.
+    spans = spans.groupBy(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key")).agg(F.max("all").alias("_pii_spans"))
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (key == F.col("_pii_key")), "left")
+    found = F.col("_pii_spans")
+    text = F.when(found.isNotNull(), masked(docs["text"], found)).otherwise(docs["text"])
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
