@@ -9,17 +9,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
 from larder.functions.expressions import churned, probability_band, risk_segment
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS
 from larder.operators import basket, dashboard, detail, export, models, rfm
+from larder.plans import refresh
 from larder.plans.refresh import SUMMARIES, refresh_all
 from larder.plans.warehouse import Warehouse
-from larder.sources import fixture, ingest, readers
+import fixtures as fixture
+from larder.sources import ingest, readers
+from larder.sources.star import Star
 from larder.sources.store import Store, storage_root
 
 try:
@@ -69,9 +74,105 @@ def _on_raw(job: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
 
 
 def _absence(w: Warehouse) -> DataFrame:
-    """Share of 1000 days since the last purchase: a probability known without a model."""
-    share = F.least("recency", F.lit(1000)) / F.lit(1000.0)
-    return w.features().select("HSHD_NUM", share.alias("churn_prob"))
+    """Days since the last purchase as a share of the most: a probability known without a model."""
+    return w.features().select("HSHD_NUM", _absent_share(w).alias("churn_prob"))
+
+
+def _absent_share(w: Warehouse) -> Column:
+    longest = w.features().agg(F.nullif(F.max("recency"), F.lit(0))).scalar()
+    return F.col("recency") / longest.cast("double")
+
+
+def _by_rule(w: Warehouse) -> DataFrame:
+    """The table of predictions with scores by rule in place of models."""
+    scored = w.features().select("*", _absent_share(w).alias("churn_prob"))
+    return scored.select(
+        "HSHD_NUM", (F.col("total_spend") * 2).alias("clv_score"), "churn_prob",
+        risk_segment("churn_prob").alias("risk_segment"), "recency", "frequency", "total_spend",
+    )
+
+
+def _report_by_rule(w: Warehouse) -> DataFrame:
+    rows = w.features().select(churned("recency").alias("label"), (F.col("frequency") < 10).cast("double").alias("guess"))
+    report = models.classification_report(rows, "label", "guess")
+    return report.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _quality_by_rule(w: Warehouse) -> DataFrame:
+    quality = models.regression_quality(w.features().withColumn("guess", F.col("avg_basket_value") * 3), "total_spend", "guess")
+    return quality.select(F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"))
+
+
+def _summary(w: Warehouse, name: str) -> DataFrame:
+    return w.table(name, lambda: SUMMARIES[name](w.star))
+
+
+def _pairs_100(w: Warehouse) -> DataFrame:
+    return w.table("pairs_100", lambda: w.pairs(100))
+
+
+def _large(w: Warehouse) -> Star:
+    """The same tables, with dimensions treated as too large to broadcast."""
+    return Star.of_entries(w.store, w.entries(), broadcast_bytes=0)
+
+
+LARGE = {
+    **{n: SUMMARIES[n] for n in ("income", "children", "dept_year", "brand", "organic", "brand_income", "dept", "commodity")},
+    "commodity_stats": basket.commodity_stats,
+    "household_features": rfm.household_features,
+    "data_pull_all_by_department": lambda s: detail.household_detail(s, None, "DEPARTMENT", page=2),
+}
+
+
+def _basket_large(w: Warehouse) -> DataFrame:
+    """Products too large to broadcast, and few enough seeds that most items are pruned."""
+    storage_root(w.store.spark)
+    items = basket.basket_commodities(_large(w)).checkpoint()
+    return basket.count_pairs(items, 10, seeds=8)
+
+
+def _any_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = warehouse(spark, sf_dir).star
+    odd = replace(star, products=fixture.odd_products(spark, sf_dir))
+    return _portable(dashboard.brand_income_pivot(dashboard.brand_income(odd)))
+
+
+def _dirty_load(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, DataFrame, DataFrame]:
+    """A warehouse loaded from tables with unreadable values, with permission; summary and rejects."""
+    opened = Warehouse(Store(spark, f"{storage_root(spark)}/larder/dirty/{uuid.uuid4().hex}"))
+    return opened, *refresh.load(opened, fixture.dirty_tables(spark, sf_dir), permit_rejects=True)
+
+
+def _refresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which derived tables are current: once made, and after the tables are loaded anew."""
+    opened = Warehouse(Store(spark, f"{storage_root(spark)}/larder/status/{uuid.uuid4().hex}"))
+    tables = fixture.typed_tables(spark, sf_dir)
+    opened.load(tables)
+    opened.table("product_weeks", lambda: dashboard.product_weeks(opened.star))
+    names = ["product_weeks", "features"]
+    first = opened.status(names).withColumn("loads", F.lit(1))
+    opened.load(tables)
+    return first.unionByName(opened.status(names).withColumn("loads", F.lit(2)))
+
+
+def _refresh_written(w: Warehouse) -> DataFrame:
+    """Rows and total of each summary as a refresh wrote it."""
+    refresh_all(w)
+    totals = [
+        w.store.read(name).agg(
+            F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(measure).cast("double"), 2).alias("total")
+        )
+        for name, measure in MEASURES.items()
+    ]
+    return reduce(DataFrame.unionByName, totals)
+
+
+MEASURES = {
+    "income": "hh_count", "hhsize": "avg_spend", "children": "hh_count", "region": "total_spend", "weekly": "spend",
+    "dept_year": "total_spend", "seasonal": "total_spend", "seasonal_commodity": "total_spend", "brand": "total_spend",
+    "organic": "total_spend", "brand_income": "total_spend", "dept": "total_spend", "commodity": "total_spend",
+    "basket": "times_bought_together",
+}
 
 
 def _class_weights(w: Warehouse) -> DataFrame:
@@ -83,8 +184,9 @@ def _class_weights(w: Warehouse) -> DataFrame:
 
 def _next_page(w: Warehouse) -> DataFrame:
     """The page behind the third one, found from its last row."""
-    last = detail.household_detail(w.star, None, "SPEND", True, page=3).tail(1)[0]
-    return detail.household_detail_after(w.star, last.asDict(), None, "SPEND", True)
+    third = detail.household_detail(w.star, None, "SPEND", True, page=3)
+    last = third.tail(1)
+    return detail.household_detail_after(w.star, last[0].asDict(), None, "SPEND", True) if last else third
 
 
 def _csv_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +197,7 @@ def _csv_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded.write.csv(
         path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    return ingest.bronze(readers.read_csv(spark, path))
+    return ingest.bronze(readers.read_csv(spark, path)).drop(readers.MALFORMED)
 
 
 _uploads: dict[tuple[str, str], Warehouse] = {}
@@ -145,26 +247,29 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = {name: _on(lambda w, job=job: job(w.star)) for name, job in SUMMARIES.items()}
+    found |= {f"{name}_large": _on(lambda w, job=job: job(_large(w))) for name, job in LARGE.items()}
     found |= {
         # headline figures, display forms, pivots
-        "kpi_top_department": _on(lambda w: dashboard.kpi_top_department(w.star)),
-        "kpi_top_commodity": _on(lambda w: dashboard.kpi_top_commodity(w.star)),
-        "weekly_labels": _on(lambda w: dashboard.weekly_labels(dashboard.weekly(w.star))),
-        "organic_labelled": _on(lambda w: dashboard.organic_labelled(dashboard.organic(w.star))),
-        "seasonal_ordered": _on(lambda w: dashboard.seasonal_ordered(dashboard.seasonal(w.star))),
-        "dept_year_pivot": _on(lambda w: dashboard.dept_year_pivot(dashboard.dept_year(w.star))),
-        "seasonal_dept_pivot": _on(
-            lambda w: dashboard.seasonal_dept_pivot(dashboard.seasonal_commodity(w.star))
-        ),
-        "brand_income_pivot": _on(
-            lambda w: dashboard.brand_income_pivot(dashboard.brand_income(w.star))
-        ),
-        "brand_json": _on(
-            lambda w: export.as_json(dashboard.brand(w.star).select("BRAND_TY", "transaction_count"))
-        ),
+        "kpi_top_department": _on(lambda w: dashboard.top_name(_summary(w, "dept"), "DEPARTMENT")),
+        "kpi_top_commodity": _on(lambda w: dashboard.top_name(_summary(w, "commodity"), "COMMODITY")),
+        "weekly_labels": _on(lambda w: dashboard.weekly_labels(_summary(w, "weekly"))),
+        "organic_labelled": _on(lambda w: dashboard.organic_labelled(_summary(w, "organic"))),
+        "seasonal_ordered": _on(lambda w: dashboard.seasonal_ordered(_summary(w, "seasonal"))),
+        "dept_year_pivot": _on(lambda w: dashboard.dept_year_pivot(_summary(w, "dept_year"))),
+        "seasonal_dept_pivot": _on(lambda w: dashboard.seasonal_dept_pivot(_summary(w, "seasonal_commodity"))),
+        "brand_income_pivot": _on(lambda w: dashboard.brand_income_pivot(_summary(w, "brand_income"))),
+        "brand_any_name_pivot": _any_brand,
+        "brand_json": _on(lambda w: export.as_json(_summary(w, "brand").select("BRAND_TY", "transaction_count"))),
+        "weekly_in_order": _on(lambda w: dashboard.in_order(dashboard.weekly(w.star))),
+        "income_in_order": _on(lambda w: dashboard.in_order(dashboard.income(w.star))),
+        "dept_in_order": _on(lambda w: dashboard.in_order(dashboard.dept(w.star))),
+        "dept_year_in_order": _on(lambda w: dashboard.in_order(dashboard.dept_year(w.star))),
         # household detail
         "data_pull_page": _on(lambda w: detail.household_detail(w.star, "0010")),
         "data_pull_all_page": _on(lambda w: detail.household_detail(w.star, None, "SPEND", True, 3)),
+        "data_pull_deep_page": _on(
+            lambda w: detail.household_detail(w.star, None, "SPEND", True, 3, sort_rows=2000, near=0)
+        ),
         "data_pull_all_by_department": _on(
             lambda w: detail.household_detail(w.star, None, "DEPARTMENT", page=2)
         ),
@@ -174,18 +279,19 @@ def queries() -> dict[str, Query]:
         # baskets
         "basket": _on(lambda w: w.pairs(10)),
         "basket_pairs_100": _on(lambda w: w.pairs(100)),
-        "basket_pairs_20": _on(lambda w: basket.best_pairs(w.pairs(100), 20)),
+        "basket_pairs_20": _on(lambda w: basket.best_pairs(_pairs_100(w), 20)),
+        "basket_large": _on(_basket_large),
         "basket_all_pairs": _on(lambda w: w.pairs(None)),
         "basket_ranked": _on(
-            lambda w: dashboard.ranked(w.pairs(10), F.desc("times_bought_together"), F.col("item_1"), F.col("item_2"))
+            lambda w: dashboard.ranked(basket.best_pairs(_pairs_100(w), 10), F.desc("times_bought_together"), F.col("item_1"), F.col("item_2"))
         ),
-        "basket_labels": _on(lambda w: basket.pair_labels(w.pairs(10))),
-        "pair_axis_max": _on(lambda w: basket.pair_axis_max(w.pairs(100))),
+        "basket_labels": _on(lambda w: basket.pair_labels(basket.best_pairs(_pairs_100(w), 10))),
+        "pair_axis_max": _on(lambda w: basket.pair_axis_max(_pairs_100(w))),
         "commodity_stats": _on(lambda w: basket.commodity_stats(w.star)),
-        "basket_pair_features": _on(lambda w: basket.top_pair_features(w.star, w.pairs(100))),
-        "cross_sell_priority": _on(lambda w: basket.with_priority(w.pairs(None))),
+        "basket_pair_features": _on(lambda w: basket.top_pair_features(w.star, _pairs_100(w))),
+        "cross_sell_priority": _on(lambda w: basket.with_priority(basket.best_pairs(_pairs_100(w), 20))),
         "cross_sell_priority_low_cuts": _on(
-            lambda w: basket.with_priority(w.pairs(None), high=60, medium=50)
+            lambda w: basket.with_priority(basket.best_pairs(_pairs_100(w), 20), high=60, medium=50)
         ),
         # households
         "snapshot_date": _on(lambda w: rfm.snapshot_date(w.star)),
@@ -215,6 +321,14 @@ def queries() -> dict[str, Query]:
                 models.percent_text("churn_prob").alias("percent"),
             )
         ),
+        # what follows the models, on scores by rule
+        "churn_counts_by_rule": _on(lambda w: models.churn_counts(_by_rule(w))),
+        "churn_stats_by_rule": _on(lambda w: models.churn_stats(_by_rule(w))),
+        "top_clv_by_rule": _on(lambda w: dashboard.in_order(models.top_clv(_by_rule(w)))),
+        "churn_order_by_rule": _on(lambda w: dashboard.in_order(models.by_churn(_by_rule(w)).select("HSHD_NUM"))),
+        "prediction_display_by_rule": _on(lambda w: models.prediction_display(_by_rule(w))),
+        "churn_report_by_rule": _on(_report_by_rule),
+        "regression_quality_by_rule": _on(_quality_by_rule),
         # models
         "churn_predictions": _on(lambda w: models.by_churn(w.predictions())),
         "churn_prediction_inputs": _on(
@@ -242,6 +356,8 @@ def queries() -> dict[str, Query]:
             "n_pairs bigint, r2 double, mae double",
         ),
         "refresh_all": _on(refresh_all),
+        "refresh_written": _on(_refresh_written),
+        "refresh_status": _refresh_status,
         # ingest
         "ingest_bronze": _csv_bronze,
         "ingest_clean": _on_raw(
@@ -256,6 +372,8 @@ def queries() -> dict[str, Query]:
         "ingest_unreadable": _on_raw(
             lambda raw: ingest.unreadable_counts("transactions", ingest.bronze(raw["transactions"]))
         ),
+        "ingest_rejects": lambda spark, sf_dir: _dirty_load(spark, sf_dir)[2],
+        "ingest_dirty": lambda spark, sf_dir: _portable(_dirty_load(spark, sf_dir)[0].star.transactions),
         "ingest_households_first": _households_first,
         "ingest_summary": _ingest_summary,
         "ingest_replace": _ingest_replace,

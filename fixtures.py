@@ -36,7 +36,7 @@ FROM {part}
 
 TRANSACTIONS = """
 SELECT l.l_orderkey AS BASKET_NUM, o.o_custkey AS HSHD_NUM, CAST(o.o_orderdate AS DATE) AS PURCHASE_DATE,
- l.l_partkey AS PRODUCT_NUM, CAST(l.l_extendedprice AS DECIMAL(10,2)) AS SPEND, CAST(l.l_quantity AS INT) AS UNITS,
+ l.l_partkey AS PRODUCT_NUM, CAST(l.l_extendedprice AS DECIMAL(20,4)) AS SPEND, CAST(l.l_quantity AS INT) AS UNITS,
  r.r_name AS STORE_R, CAST(floor((dayofyear(o.o_orderdate) - 1) / 7) AS INT) + 1 AS WEEK_NUM,
  CAST(year(o.o_orderdate) AS INT) AS YEAR
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
@@ -71,6 +71,23 @@ SELECT CAST(BASKET_NUM AS VARCHAR(20)) AS BASKET_NUM,
 FROM {transactions}
 """
 
+# Some values that no type reads, as an upload may hold them.
+DIRTY_TRANSACTIONS = """
+SELECT BASKET_NUM, HSHD_NUM,
+ CASE WHEN CAST(BASKET_NUM AS BIGINT) % 7 = 0 THEN '43336' ELSE PURCHASE_ END AS PURCHASE_, PRODUCT_NUM,
+ CASE WHEN CAST(PRODUCT_NUM AS BIGINT) % 11 = 0 THEN concat('$', SPEND)
+      WHEN CAST(PRODUCT_NUM AS BIGINT) % 11 = 1 THEN concat('123456', SPEND) ELSE SPEND END AS SPEND,
+ CASE WHEN CAST(PRODUCT_NUM AS BIGINT) % 13 = 0 THEN concat(UNITS, '.0') ELSE UNITS END AS UNITS, STORE_R, WEEK_NUM, YEAR
+FROM {raw_transactions}
+"""
+
+# Brands that differ in case only, or hold a dot.
+ODD_PRODUCTS = """
+SELECT PRODUCT_NUM, DEPARTMENT, COMMODITY, CASE PRODUCT_NUM % 4 WHEN 0 THEN 'NO. 1' WHEN 1 THEN 'Private' WHEN 2 THEN 'PRIVATE'
+ ELSE BRAND_TY END AS BRAND_TY, NATURAL_ORGANIC_FLAG
+FROM {products}
+"""
+
 SOURCE_TABLES = ("customer", "part", "lineitem", "orders", "supplier", "nation", "region")
 
 
@@ -88,6 +105,16 @@ def typed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def odd_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fill(spark, ODD_PRODUCTS, typed_tables(spark, sf_dir))
+
+
+def dirty_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The raw tables with unreadable values among the purchases."""
+    raw = raw_tables(spark, sf_dir)
+    return raw | {"transactions": _fill(spark, DIRTY_TRANSACTIONS, {"raw_transactions": raw["transactions"]})}
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same tables as uploaded text: padded keys, padded and upper-case 'null'."""
     typed = typed_tables(spark, sf_dir)

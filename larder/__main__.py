@@ -33,6 +33,8 @@ def parse(arguments: Sequence[str] | None) -> argparse.Namespace:
         job.add_argument("store", help="folder all executors can reach")
     for table in LOAD_ORDER:
         load.add_argument(table, help="CSV file or folder")
+    load.add_argument("--permit-rejects", action="store_true", help="load what can be read, count the rest")
+    load.add_argument("--keep-first", action="store_true", help="keep one row of repeated dimension numbers")
     show.add_argument("result")
     detail.add_argument("--household", help="household number; all when absent")
     detail.add_argument("--sort", default="HSHD_NUM")
@@ -44,7 +46,8 @@ def parse(arguments: Sequence[str] | None) -> argparse.Namespace:
 def run(warehouse: Warehouse, given: argparse.Namespace) -> DataFrame:
     if given.job == "load":
         spark = warehouse.store.spark
-        return load_and_refresh(warehouse, {t: read_csv(spark, getattr(given, t)) for t in LOAD_ORDER})
+        raw = {t: read_csv(spark, getattr(given, t)) for t in LOAD_ORDER}
+        return load_and_refresh(warehouse, raw, given.permit_rejects, given.keep_first)
     if given.job == "refresh":
         return refresh_all(warehouse)
     if given.job == "show":
@@ -57,7 +60,11 @@ def run(warehouse: Warehouse, given: argparse.Namespace) -> DataFrame:
 def main(arguments: Sequence[str] | None = None) -> None:
     given = parse(arguments)
     warehouse = Warehouse(Store(build_session(), given.store.rstrip("/")))
-    run(warehouse, given).show(1000, truncate=False)
+    result = run(warehouse, given)
+    print("\t".join(result.columns))
+    # Row by row as they come, so that a result of any length is printed whole.
+    for row in result.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
 
 
 if __name__ == "__main__":

@@ -17,6 +17,9 @@ NA_TOKENS = (
 # Purchase date formats tried after ISO.
 DATE_FORMATS = ("dd-MMM-yy", "M/d/yyyy", "yyyyMMdd")
 
+# Four digits of a year at most: a bare number is no date.
+ISO_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -45,10 +48,11 @@ def number_or_null(c: Column | str) -> Column:
 def date_or_null(c: Column | str) -> Column:
     """ISO first, then the other formats; two-digit years above 49 are 19xx."""
     c = F.trim(_col(c))
+    iso = F.when(c.rlike(ISO_PATTERN), c.try_cast("date"))
     short = F.try_to_date(c, DATE_FORMATS[0])
     short = F.when(F.year(short) >= 2050, F.add_months(short, -1200)).otherwise(short)
     rest = [F.try_to_date(c, fmt) for fmt in DATE_FORMATS[1:]]
-    return F.coalesce(c.try_cast("date"), short, *rest)
+    return F.coalesce(iso, short, *rest)
 
 
 def season(week: Column | str) -> Column:
@@ -112,7 +116,7 @@ def cross_sell_priority(count: Column | str, high: int = 500, medium: int = 200)
 
 def cents(money: Column | str) -> Column:
     """DECIMAL money in whole cents: sums per household or basket stay exact and cheap."""
-    return (_col(money) * 100).cast("bigint")
+    return (_col(money).cast("decimal(20,2)") * 100).cast("bigint")
 
 
 def from_cents(total: Column | str) -> Column:

@@ -19,6 +19,14 @@ SEED_ITEMS = 64
 # the others.
 ITEMS_PER_TASK = 1000
 
+# A list is broadcast up to this many rows, about 50 MB of commodity names.
+BROADCAST_ROWS = 1_000_000
+
+
+def _listed(rows: DataFrame, n: int) -> DataFrame:
+    """A list of at most n rows, to be broadcast if n is small."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
 
 def top_baskets(star: Star, n: int = TOP_BASKETS) -> DataFrame:
     """The n baskets with the highest spend; ties go to the lower number."""
@@ -34,15 +42,16 @@ def top_baskets(star: Star, n: int = TOP_BASKETS) -> DataFrame:
 def basket_commodities(star: Star, baskets: int = TOP_BASKETS) -> DataFrame:
     """Distinct (BASKET_NUM, COMMODITY) of the top baskets, known commodities only.
 
-    The basket list has at most `baskets` rows, so it is broadcast and the other
-    lines go before any shuffle.
+    The basket list has at most `baskets` rows, so the other lines go before any shuffle.
+    Products too large to broadcast meet the few lines that are left, written out first.
     """
-    chosen = F.broadcast(top_baskets(star, baskets))
+    chosen = _listed(top_baskets(star, baskets), baskets)
     lines = star.transactions.select("BASKET_NUM", "PRODUCT_NUM").join(
         chosen, "BASKET_NUM", "left_semi"
     )
     if not star.products_fit:
-        lines = lines.distinct()
+        storage_root(lines.sparkSession)
+        lines = lines.distinct().checkpoint()
     named = star.products.select("PRODUCT_NUM", "COMMODITY").filter(not_missing("COMMODITY"))
     return (
         join_dimension(lines, named, "PRODUCT_NUM", star.products_fit)
@@ -51,18 +60,18 @@ def basket_commodities(star: Star, baskets: int = TOP_BASKETS) -> DataFrame:
     )
 
 
-def _count_pairs(items: DataFrame, n_items: int) -> DataFrame:
-    """Pairs of a basket come from as many tasks as its possible size calls for."""
-    left = items.select("BASKET_NUM", F.col("COMMODITY").alias("item_1"))
-    right = items.select("BASKET_NUM", F.col("COMMODITY").alias("item_2"))
-    keys = ["BASKET_NUM"]
-    tasks = -(-n_items // ITEMS_PER_TASK)
-    if tasks > 1:
-        keys.append("part")
-        left = left.withColumn("part", F.pmod(F.hash("item_1"), F.lit(tasks)))
-        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+def _count_pairs(items: DataFrame) -> DataFrame:
+    """Pairs of a basket come from as many tasks as its own size calls for."""
+    sizes = items.groupBy("BASKET_NUM").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_TASK).alias("tasks"))
+    sized = items.join(sizes, "BASKET_NUM")
+    left = sized.select(
+        "BASKET_NUM", F.col("COMMODITY").alias("item_1"), F.pmod(F.hash("COMMODITY"), "tasks").alias("part")
+    )
+    right = sized.select(
+        "BASKET_NUM", F.col("COMMODITY").alias("item_2"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part")
+    )
     return (
-        left.join(right, keys)
+        left.join(right, ["BASKET_NUM", "part"])
         .filter("item_1 < item_2")
         .groupBy("item_1", "item_2")
         .agg(F.count(F.lit(1)).alias("times_bought_together"))
@@ -74,7 +83,7 @@ def best_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.orderBy(F.desc("times_bought_together"), "item_1", "item_2").limit(n)
 
 
-def count_pairs(items: DataFrame, top_n: int | None) -> DataFrame:
+def count_pairs(items: DataFrame, top_n: int | None, seeds: int | None = None) -> DataFrame:
     """Baskets per unordered pair, the `top_n` most frequent pairs or all.
 
     `items` is read several times and should be a written or checkpointed frame.
@@ -84,22 +93,19 @@ def count_pairs(items: DataFrame, top_n: int | None) -> DataFrame:
     items seen in fewer baskets drop out before pairs are formed. That changes
     no result; it keeps the many rare items of a long-tailed catalogue out.
     """
-    by_item = items.groupBy("COMMODITY").agg(F.count(F.lit(1)).alias("baskets"))
-    n_items = by_item.count()
     if top_n is None:
-        return _count_pairs(items, n_items)
-    if n_items <= SEED_ITEMS:
-        return best_pairs(_count_pairs(items, n_items), top_n)
-    seeds = by_item.orderBy(F.desc("baskets"), "COMMODITY").limit(SEED_ITEMS).select("COMMODITY")
-    seed_items = items.join(F.broadcast(seeds), "COMMODITY", "left_semi")
+        return _count_pairs(items)
+    by_item = items.groupBy("COMMODITY").agg(F.count(F.lit(1)).alias("baskets"))
+    first = by_item.orderBy(F.desc("baskets"), "COMMODITY").limit(seeds or SEED_ITEMS).select("COMMODITY")
+    seed_items = items.join(F.broadcast(first), "COMMODITY", "left_semi")
     bound = (
-        best_pairs(_count_pairs(seed_items, SEED_ITEMS), top_n)
+        best_pairs(_count_pairs(seed_items), top_n)
         .agg(F.when(F.count(F.lit(1)) == top_n, F.min("times_bought_together")).otherwise(0))
         .scalar()
     )
     frequent = by_item.filter(F.col("baskets") >= bound).select("COMMODITY")
     kept = items.join(frequent, "COMMODITY", "left_semi")
-    return best_pairs(_count_pairs(kept, n_items), top_n)
+    return best_pairs(_count_pairs(kept), top_n)
 
 
 def copurchase_pairs(
@@ -119,7 +125,7 @@ def commodity_stats(star: Star, only: DataFrame | None = None) -> DataFrame:
     named = star.products.select("PRODUCT_NUM", "COMMODITY").filter(not_missing("COMMODITY"))
     fits = star.products_fit
     if only is not None:
-        named = named.join(F.broadcast(only), "COMMODITY", "left_semi")
+        named = named.join(F.broadcast(only) if is_small(only) else only, "COMMODITY", "left_semi")
         fits = fits or is_small(named)
     return (
         join_dimension(lines, named, "PRODUCT_NUM", fits)

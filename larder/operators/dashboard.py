@@ -21,7 +21,6 @@ from larder.functions.expressions import (
 from larder.functions.labels import SEASONS, season_dim
 from larder.operators.joins import join_dimension
 from larder.sources.star import Star
-from larder.sources.store import storage_root
 
 
 def _money(total: Column) -> Column:
@@ -51,12 +50,23 @@ def _with_products(star: Star, fact: DataFrame, *columns: Column | str) -> DataF
     return join_dimension(fact, dim, "PRODUCT_NUM", star.products_fit)
 
 
-def _spend_by(star: Star, name: str, *keys: str) -> DataFrame:
+def product_weeks(star: Star) -> DataFrame:
+    """SPEND and LINES per product, year and week: what five summaries add up further."""
+    return star.transactions.groupBy("PRODUCT_NUM", "YEAR", "WEEK_NUM").agg(
+        F.sum("SPEND").alias("SPEND"), F.count(F.lit(1)).alias("LINES")
+    )
+
+
+def _spend_by(star: Star, name: str, *keys: str, shared: DataFrame | None = None) -> DataFrame:
     """A product column, keys, SPEND and LINES, to be summed further.
 
+    From the written `product_weeks` where they are given, else from the lines.
+
     One row per line when products are broadcast; else summed per product before
     the join, which then moves a row per product and key and meets no hot product.
     """
+    if shared is not None:
+        return _with_products(star, shared, name)
     lines = star.transactions.select("PRODUCT_NUM", *keys, "SPEND")
     if star.products_fit:
         return _with_products(star, lines.withColumn("LINES", F.lit(1)), name)
@@ -98,13 +108,14 @@ def region(star: Star) -> DataFrame:
     )
 
 
-def weekly(star: Star) -> DataFrame:
-    return star.transactions.groupBy("WEEK_NUM", "YEAR").agg(_sum("spend")).orderBy("YEAR", "WEEK_NUM")
+def weekly(star: Star, shared: DataFrame | None = None) -> DataFrame:
+    lines = star.transactions if shared is None else shared
+    return lines.groupBy("WEEK_NUM", "YEAR").agg(_sum("spend")).orderBy("YEAR", "WEEK_NUM")
 
 
-def dept_year(star: Star) -> DataFrame:
+def dept_year(star: Star, shared: DataFrame | None = None) -> DataFrame:
     return (
-        _spend_by(star, "DEPARTMENT", "YEAR")
+        _spend_by(star, "DEPARTMENT", "YEAR", shared=shared)
         .filter(F.col("YEAR").isNotNull())
         .groupBy("DEPARTMENT", "YEAR")
         .agg(_sum("total_spend"))
@@ -120,10 +131,10 @@ def seasonal(star: Star) -> DataFrame:
     )
 
 
-def seasonal_commodity(star: Star) -> DataFrame:
+def seasonal_commodity(star: Star, shared: DataFrame | None = None) -> DataFrame:
     """Spend per season and department; the first 20 by season name, then spend."""
     return (
-        _spend_by(star, "DEPARTMENT", "WEEK_NUM")
+        _spend_by(star, "DEPARTMENT", "WEEK_NUM", shared=shared)
         .filter(F.col("WEEK_NUM").isNotNull())
         .groupBy(season("WEEK_NUM").alias("season"), "DEPARTMENT")
         .agg(_sum("total_spend"))
@@ -132,9 +143,9 @@ def seasonal_commodity(star: Star) -> DataFrame:
     )
 
 
-def brand(star: Star) -> DataFrame:
+def brand(star: Star, shared: DataFrame | None = None) -> DataFrame:
     return (
-        _spend_by(star, "BRAND_TY")
+        _spend_by(star, "BRAND_TY", shared=shared)
         .filter(not_missing("BRAND_TY"))
         .groupBy("BRAND_TY")
         .agg(_sum("total_spend"), F.sum("LINES").alias("transaction_count"))
@@ -177,18 +188,27 @@ def dept(star: Star) -> DataFrame:
     )
 
 
-def _commodity_spend(star: Star) -> DataFrame:
-    return _spend_by(star, "COMMODITY").groupBy("COMMODITY").agg(_sum("total_spend"))
+def _commodity_spend(star: Star, shared: DataFrame | None = None) -> DataFrame:
+    return _spend_by(star, "COMMODITY", shared=shared).groupBy("COMMODITY").agg(_sum("total_spend"))
+
+
+def commodity(star: Star, shared: DataFrame | None = None) -> DataFrame:
+    return _commodity_spend(star, shared).orderBy(F.desc("total_spend"), "COMMODITY").limit(10)
 
 
-def commodity(star: Star) -> DataFrame:
-    return _commodity_spend(star).orderBy(F.desc("total_spend"), "COMMODITY").limit(10)
+FROM_PRODUCT_WEEKS = {
+    "weekly": weekly,
+    "dept_year": dept_year,
+    "seasonal_commodity": seasonal_commodity,
+    "brand": brand,
+    "commodity": commodity,
+}
 
 
 # Headline figures and display forms ------------------------------------------
 
 
-def _top_name(ranked: DataFrame, name: str) -> DataFrame:
+def top_name(ranked: DataFrame, name: str) -> DataFrame:
     """Name of the row with the largest spend as one row, 'N/A' when there is none.
 
     A tie goes to the alphabetically first name.
@@ -199,11 +219,11 @@ def _top_name(ranked: DataFrame, name: str) -> DataFrame:
 
 def kpi_top_department(star: Star) -> DataFrame:
     rows = _spend_by(star, "DEPARTMENT").groupBy("DEPARTMENT").agg(_sum("total_spend"))
-    return _top_name(rows, "DEPARTMENT")
+    return top_name(rows, "DEPARTMENT")
 
 
 def kpi_top_commodity(star: Star) -> DataFrame:
-    return _top_name(_commodity_spend(star), "COMMODITY")
+    return top_name(_commodity_spend(star), "COMMODITY")
 
 
 def weekly_labels(weeks: DataFrame) -> DataFrame:
@@ -228,6 +248,13 @@ def seasonal_ordered(seasons: DataFrame) -> DataFrame:
     )
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """The place of each row of an ordered summary, as the summary orders it."""
+    numbered = rows.withColumn("id", F.monotonically_increasing_id())
+    place = F.row_number().over(W.orderBy("id")).cast("bigint")
+    return numbered.select(place.alias("place"), *rows.columns)
+
+
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """Displayed rank 1..n of a top-n list (never more than its few rows)."""
     rank = F.row_number().over(W.orderBy(*order)).cast("bigint")
@@ -237,25 +264,37 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 # Pivots ----------------------------------------------------------------------
 
 
-def pivot_spend(
-    cells: DataFrame, row: str, column: str, values: list[str] | None = None
-) -> DataFrame:
-    """Rows by columns of total_spend, 0 where there is no cell.
+def pivot_spend(cells: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """Rows by the given, fixed columns of total_spend, 0 where there is no cell.
 
-    `cells` is a summary, one row per cell. Without given values it is written
-    out, so that finding the values does not compute it twice.
+    `cells` is a summary, one row per cell. Cells are filled by place, so that a value may
+    be any text.
     """
-    if values is None:
-        storage_root(cells.sparkSession)
-        cells = cells.checkpoint()
-        found = cells.select(column).distinct().orderBy(column).collect()
-        values = [r[0] for r in found if r[0] is not None]
     table = cells.groupBy(row).pivot(column, values).agg(F.first("total_spend"))
-    return table.fillna(0.0, [str(v) for v in values]).orderBy(row)
+    places = table.toDF(row, *[f"cell_{i}" for i in range(len(values))])
+    filled = [F.coalesce(f"cell_{i}", F.lit(0.0)).alias(v) for i, v in enumerate(values)]
+    return places.select(row, *filled).orderBy(row)
+
+
+def grid(cells: DataFrame, row: str, column: str) -> DataFrame:
+    """The dense grid of a summary in long form: row, column, total_spend, 0 where there is no cell.
+
+    Column values are data here and may be any texts, also ones that differ in case only.
+    NULL makes a row of the grid, but no column.
+    """
+    known = cells.filter(F.col(column).isNotNull())
+    values = known.agg(F.sort_array(F.collect_set(column))).scalar()
+    by_row = cells.groupBy(row).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(column, "total_spend")))).alias("cells")
+    )
+    full = by_row.select(row, "cells", F.explode(values).alias(column))
+    return full.select(
+        row, column, F.coalesce(F.try_element_at("cells", F.col(column)), F.lit(0.0)).alias("total_spend")
+    ).orderBy(row, column)
 
 
 def dept_year_pivot(cells: DataFrame) -> DataFrame:
-    return pivot_spend(cells, "DEPARTMENT", "YEAR")
+    return grid(cells, "DEPARTMENT", "YEAR")
 
 
 def seasonal_dept_pivot(cells: DataFrame) -> DataFrame:
@@ -263,4 +302,4 @@ def seasonal_dept_pivot(cells: DataFrame) -> DataFrame:
 
 
 def brand_income_pivot(cells: DataFrame) -> DataFrame:
-    return pivot_spend(cells, "INCOME_RANGE", "BRAND_TY")
+    return grid(cells, "INCOME_RANGE", "BRAND_TY")

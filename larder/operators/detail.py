@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.joins import join_dimension
-from larder.operators.paging import SORT_ROWS, order_by, page_of
-from larder.sources.star import Star
+from larder.operators.paging import NEAR_ROWS, SORT_ROWS, order_by, page_of
+from larder.sources.star import Star, is_small
 from larder.sources.store import storage_root
 
 PAGE_SIZE = 100
@@ -75,8 +75,10 @@ def _describe(star: Star, page: DataFrame, order: list[Column]) -> DataFrame:
     ):
         wanted = dim.select([c for c in dim.columns if c in COLUMNS])
         if not fits:
-            wanted = wanted.join(F.broadcast(page.select(key)), key, "left_semi")
-        page = page.join(F.broadcast(wanted), key, "left")
+            keys = page.select(key)
+            wanted = wanted.join(F.broadcast(keys) if is_small(keys) else keys, key, "left_semi")
+            fits = is_small(wanted)
+        page = page.join(F.broadcast(wanted) if fits else wanted, key, "left")
     return page.select(*COLUMNS).orderBy(*order)
 
 
@@ -88,13 +90,14 @@ def household_detail(
     page: int = 1,
     page_size: int = PAGE_SIZE,
     sort_rows: int = SORT_ROWS,
+    near: int = NEAR_ROWS,
 ) -> DataFrame:
     """One page of detail rows; lines without a known product or household stay."""
     if page < 1:
         raise ValueError("page starts at 1")
     name = sort_column(sort)
     lines = _sortable_lines(star, household, name)
-    rows = page_of(lines, _columns(name), descending, (page - 1) * page_size, page_size, sort_rows)
+    rows = page_of(lines, _columns(name), descending, (page - 1) * page_size, page_size, sort_rows, near)
     return _describe(star, rows, order_by(_columns(name), descending))
 
 
@@ -114,6 +117,14 @@ def _after(name: str, descending: bool, last: Mapping[str, object]) -> Column:
     return behind
 
 
+def _from(name: str, descending: bool, last: Mapping[str, object]) -> Column:
+    """Rows whose sort column alone may stand behind `last`: a plain filter for the scan."""
+    col, value = F.col(name), last[name]
+    if value is None:
+        return col.isNull() if descending else F.lit(True)
+    return (col <= F.lit(value)) | col.isNull() if descending else col >= F.lit(value)
+
+
 def household_detail_after(
     star: Star,
     last: Mapping[str, object],
@@ -125,7 +136,7 @@ def household_detail_after(
 ) -> DataFrame:
     """The page behind a given detail row."""
     name = sort_column(sort)
-    lines = _sortable_lines(star, household, name).filter(_after(name, descending, last))
+    lines = _sortable_lines(star, household, name).filter(_from(name, descending, last) & _after(name, descending, last))
     rows = page_of(lines, _columns(name), descending, 0, page_size, sort_rows)
     return _describe(star, rows, order_by(_columns(name), descending))
 

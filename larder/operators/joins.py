@@ -5,44 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one row in this many.
-HOT_SHARE = 1000
-
 
 def join_dimension(
     fact: DataFrame, dim: DataFrame, key: str, fits: bool, how: str = "inner"
 ) -> DataFrame:
     """Equi-join on `key`, `how` being inner or left.
 
-    A dimension of proven small size is broadcast, so the fact never moves.
-    A larger one is joined through a shuffle with the hot keys kept apart.
+    A dimension of proven small size is broadcast, so the fact never moves. A larger one is
+    joined by a sort-merge join, of which adaptive execution splits the skewed partitions
+    (`session.py` turns that on); the fact is read once. Rows without a key find no partner
+    and need no shuffle in an inner join.
     """
     if fits:
         return fact.join(F.broadcast(dim), key, how)
-    return split_hot_join(fact, dim, key, how)
-
-
-def split_hot_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Shuffle join in which no key brings more than 1/HOT_SHARE of the fact to a task.
-
-    Keys above that share number fewer than HOT_SHARE. Their dimension rows are
-    that few too, so they are broadcast and the hot fact rows stay where they
-    are; all other rows are joined by shuffle. Rows without a key find no partner
-    and go with the hot ones.
-    """
-    limit = fact.agg((F.count(F.lit(1)) / HOT_SHARE).alias("limit")).scalar()
-    hot = (
-        fact.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-        .select("hot_key")
-    )
-    is_hot_key = F.col(key) == F.col("hot_key")
-    marked = fact.join(F.broadcast(hot), is_hot_key, "left")
-    stays = F.col("hot_key").isNotNull() | F.col(key).isNull()
-    hot_dim = dim.join(F.broadcast(hot), is_hot_key, "left_semi")
-
-    hot_rows = marked.filter(stays).drop("hot_key").join(F.broadcast(hot_dim), key, how)
-    cold_rows = marked.filter(~stays).drop("hot_key").join(dim, key, how)
-    return hot_rows.unionByName(cold_rows)
+    return fact.join(dim.hint("merge"), key, how)

@@ -1,7 +1,7 @@
 """Lifetime value, churn and co-purchase models, their scores and quality figures.
 
-Training runs on all rows by default. Model outputs depend on how rows are
-spread over partitions, so they repeat for the same files and settings only.
+Training runs on all rows by default. Rows are dealt to a fixed number of tasks by their
+keys and ordered there, so a model depends on the rows alone and not on their files.
 Fitted models are for saving (`Store.save_model`); score with the saved copy,
 which no longer holds the training session.
 """
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from larder.functions.expressions import churned, risk_segment
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS, segment_dim
 from larder.operators.basket import best_pairs
-from larder.operators.paging import page_of
 
 # Model inputs in order, sizes and seed.
 CLV_FEATURES = (
@@ -34,9 +33,8 @@ SEED = 42
 SAMPLE_ROWS = 10_000
 MIN_PAIRS = 10
 
-# Rows a training task should hold; fewer tasks make the many short jobs of
-# boosting cheaper on small inputs.
-ROWS_PER_TASK = 250_000
+# Tasks that train side by side; a setting of the cluster, as models depend on it.
+TRAINING_TASKS = 8
 
 TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": 2}}
 
@@ -47,9 +45,10 @@ def is_training(*keys: str) -> Column:
 
 
 def sample_rows(features: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most n households, those with the lowest hashes: the capped training set."""
-    drawn = features.withColumn("draw", F.xxhash64("HSHD_NUM", F.lit(SEED)))
-    return page_of(drawn, ["draw", "HSHD_NUM"], False, 0, n).drop("draw")
+    """About n households, those with the lowest hashes: the capped training set."""
+    share = F.lit(n) / F.greatest(features.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    draw = F.pmod(F.xxhash64("HSHD_NUM", F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
+    return features.filter(draw < share)
 
 
 def _gbt(inputs: Sequence[str]) -> Pipeline:
@@ -61,20 +60,27 @@ def _gbt(inputs: Sequence[str]) -> Pipeline:
     )
 
 
-def _fit(pipeline: Pipeline, rows: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """Fit on the needed columns only, cached, in as many tasks as the rows call for."""
-    needed = rows.select(*dict.fromkeys(columns)).cache()
+def _fit(
+    pipeline: Pipeline, rows: DataFrame, columns: Sequence[str], keys: Sequence[str], tasks: int
+) -> PipelineModel:
+    """Fit on the needed columns only, cached, dealt and ordered by the rows' keys."""
+    needed = list(dict.fromkeys([*keys, *columns]))
+    dealt = rows.select(*needed).repartition(tasks, *keys).sortWithinPartitions(*keys).cache()
     try:
-        return pipeline.fit(needed.coalesce(max(1, -(-needed.count() // ROWS_PER_TASK))))
+        return pipeline.fit(dealt)
     finally:
-        needed.unpersist()
+        dealt.unpersist()
 
 
-def train_clv(features: DataFrame, max_rows: int | None = None) -> PipelineModel:
-    """Boosted trees for total spend, on a sample of households if `max_rows` is given."""
-    rows = features if max_rows is None else sample_rows(features, max_rows)
-    rows = rows.filter(is_training("HSHD_NUM")).withColumn("label", F.col("total_spend"))
-    return _fit(_gbt(CLV_FEATURES), rows, (*CLV_FEATURES, "label"))
+def can_train(features: DataFrame) -> bool:
+    """Whether any household is there to learn from."""
+    return features.filter(is_training("HSHD_NUM")).limit(1).count() == 1
+
+
+def train_clv(features: DataFrame, tasks: int = TRAINING_TASKS) -> PipelineModel:
+    """Boosted trees for total spend."""
+    rows = features.filter(is_training("HSHD_NUM")).withColumn("label", F.col("total_spend"))
+    return _fit(_gbt(CLV_FEATURES), rows, (*CLV_FEATURES, "label"), ("HSHD_NUM",), tasks)
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
@@ -86,11 +92,16 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", n / (F.when(both, 2).otherwise(1) * of_class))
 
 
-def train_churn(features: DataFrame, max_rows: int | None = None) -> PipelineModel:
-    """Balanced random forest for more than 90 days without a purchase."""
+def train_churn(
+    features: DataFrame, max_rows: int | None = None, tasks: int = TRAINING_TASKS
+) -> PipelineModel:
+    """Balanced random forest for more than 90 days without a purchase.
+
+    `max_rows` bounds the labelled rows to about that many.
+    """
     rows = features if max_rows is None else sample_rows(features, max_rows)
     rows = rows.filter(is_training("HSHD_NUM")).withColumn("label", churned("recency"))
-    weighted = balanced_weights(rows.select(*CHURN_FEATURES, "label"))
+    weighted = balanced_weights(rows.select("HSHD_NUM", *CHURN_FEATURES, "label"))
     weighted = weighted.withMetadata("label", TWO_CLASSES)
     forest = Pipeline(
         stages=[
@@ -98,20 +109,21 @@ def train_churn(features: DataFrame, max_rows: int | None = None) -> PipelineMod
             RandomForestClassifier(numTrees=50, maxDepth=5, seed=SEED, weightCol="weight"),
         ]
     )
-    return _fit(forest, weighted, (*CHURN_FEATURES, "label", "weight"))
+    return _fit(forest, weighted, (*CHURN_FEATURES, "label", "weight"), ("HSHD_NUM",), tasks)
 
 
 def enough_pairs(pairs: DataFrame) -> bool:
-    """Below ten pairs there is no pair model."""
-    return pairs.limit(MIN_PAIRS).count() == MIN_PAIRS
+    """Below ten pairs there is no pair model, nor if none of them is for training."""
+    found = pairs.limit(MIN_PAIRS).count() == MIN_PAIRS
+    return found and pairs.filter(is_training("item_1", "item_2")).limit(1).count() == 1
 
 
-def train_pairs(pairs: DataFrame) -> PipelineModel:
+def train_pairs(pairs: DataFrame, tasks: int = TRAINING_TASKS) -> PipelineModel:
     """Boosted trees for the co-purchase count."""
     rows = pairs.filter(is_training("item_1", "item_2")).withColumn(
         "label", F.col("times_bought_together")
     )
-    return _fit(_gbt(PAIR_FEATURES), rows, (*PAIR_FEATURES, "label"))
+    return _fit(_gbt(PAIR_FEATURES), rows, (*PAIR_FEATURES, "label"), ("item_1", "item_2"), tasks)
 
 
 # Scores ----------------------------------------------------------------------

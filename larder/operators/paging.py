@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 # Rows that one ordered limit may look at.
 SORT_ROWS = 1_000_000
 
+# Rows up to the page's end that every task may hand to the one that merges them.
+NEAR_ROWS = 10_000
+
 # Ranges counted at a time.
 RANGES = 1000
 
@@ -169,9 +172,16 @@ def page_of(
     skip: int,
     take: int,
     most: int = SORT_ROWS,
+    near: int = NEAR_ROWS,
 ) -> DataFrame:
-    """`take` rows after the first `skip`, ordered by `columns`."""
+    """`take` rows after the first `skip`, ordered by `columns`.
+
+    A page that ends within `near` rows is one ordered limit over one scan, however long the
+    listing; only deeper pages are looked for by counting.
+    """
     order = order_by(columns, descending)
+    if skip + take <= near:
+        return rows.orderBy(*order).offset(skip).limit(take)
     most = max(most, take)
     n, lo, hi = rows.agg(F.count(F.lit(1)), F.min(columns[0]), F.max(columns[0])).first()
     slices = [Slice(rows, skip, take)]

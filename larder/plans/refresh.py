@@ -17,6 +17,7 @@ from larder.sources.store import utc_now
 # Fixed value: results younger than this are reused.
 MAX_AGE_SECONDS = 1800
 
+# The names of the summaries.
 SUMMARIES = {
     "income": dashboard.income,
     "hhsize": dashboard.hhsize,
@@ -33,12 +34,12 @@ SUMMARIES = {
     "commodity": dashboard.commodity,
 }
 
-# The results that must all be there for the dashboard to be complete.
-DASHBOARD = (*SUMMARIES, "basket", "top_clv", "churn_counts", "avg_clv", "high_risk_count")
-
+# The results of the dashboard and the two model pages.
+SCORED = ("top_clv", "churn_counts", "avg_clv", "high_risk_count")
+DASHBOARD = (*SUMMARIES, "basket", *SCORED)
 CHURN_PAGE = ("churn_stats", "churn_importances", "churn_correlations", "churn_rate", "churn_report")
-
 PAIR_PAGE = ("basket_model", "basket_importances", "basket_model_summary")
+RESULTS = (*DASHBOARD, *CHURN_PAGE, *PAIR_PAGE)
 
 
 def train(warehouse: Warehouse) -> None:
@@ -54,16 +55,23 @@ def train(warehouse: Warehouse) -> None:
             fit.result()
 
 
-def dashboard_results(warehouse: Warehouse) -> dict[str, DataFrame]:
+def summary_results(warehouse: Warehouse) -> dict[str, DataFrame]:
+    """What needs no model. Spend per product, week and year is added up once for five of them."""
+    shared = warehouse.table("product_weeks", lambda: dashboard.product_weeks(warehouse.star))
+    results = {name: summary(warehouse.star) for name, summary in SUMMARIES.items() if name not in dashboard.FROM_PRODUCT_WEEKS}
+    results |= {name: summary(warehouse.star, shared) for name, summary in dashboard.FROM_PRODUCT_WEEKS.items()}
+    return results | {"basket": warehouse.pairs(10)}
+
+
+def score_results(warehouse: Warehouse) -> dict[str, DataFrame]:
     scored = warehouse.predictions()
     stats = models.churn_stats(scored)
-    results = {name: summary(warehouse.star) for name, summary in SUMMARIES.items()}
-    results["basket"] = warehouse.pairs(10)
-    results["top_clv"] = models.top_clv(scored)
-    results["churn_counts"] = models.churn_counts(scored)
-    results["avg_clv"] = stats.select("avg_clv")
-    results["high_risk_count"] = stats.select(F.col("high_risk").alias("high_risk_count"))
-    return results
+    return {
+        "top_clv": models.top_clv(scored),
+        "churn_counts": models.churn_counts(scored),
+        "avg_clv": stats.select("avg_clv"),
+        "high_risk_count": stats.select(F.col("high_risk").alias("high_risk_count")),
+    }
 
 
 def churn_results(warehouse: Warehouse) -> dict[str, DataFrame]:
@@ -94,37 +102,71 @@ def pair_results(warehouse: Warehouse) -> dict[str, DataFrame]:
     }
 
 
+def _possible(warehouse: Warehouse) -> list[str]:
+    """The results that the loaded tables allow; models need households and pairs."""
+    found = [*SUMMARIES, "basket"]
+    if warehouse.can_train():
+        found += [*SCORED, *CHURN_PAGE]
+    if models.enough_pairs(warehouse.pair_features()):
+        found += PAIR_PAGE
+    return found
+
+
 def is_fresh(warehouse: Warehouse, now: dt.datetime | None = None) -> bool:
-    """All dashboard results exist, follow the last load and are young enough."""
+    """All results that can be there are, follow from the last load and are young enough."""
+    warehouse.reload()
     oldest = (now or utc_now()) - dt.timedelta(seconds=MAX_AGE_SECONDS)
-    return all(warehouse.is_current(name, not_before=oldest) for name in DASHBOARD)
+    if not all(warehouse.is_current(name, not_before=oldest) for name in (*SUMMARIES, "basket")):
+        return False
+    return all(warehouse.is_current(name, not_before=oldest) for name in _possible(warehouse))
 
 
 def refresh_all(warehouse: Warehouse, now: dt.datetime | None = None) -> DataFrame:
-    """Bring every result up to date; (table, rows) of the current results.
+    """Bring every result up to date; (table, rows) of all results, rows NULL for absent ones.
 
-    Fresh results are kept. A failing result fails the refresh: the results of the
-    last complete one stay current.
+    Fresh results are kept. A summary that fails fails the refresh: the results of the last
+    complete one stay current. Where there is too little to train on, the summaries are
+    written all the same and the model results are absent.
     """
     if not is_fresh(warehouse, now):
         train(warehouse)
-        warehouse.write(
-            {
-                **dashboard_results(warehouse),
-                **churn_results(warehouse),
-                **pair_results(warehouse),
-            }
-        )
+        results = summary_results(warehouse)
+        if warehouse.can_train():
+            results |= score_results(warehouse) | churn_results(warehouse)
+        warehouse.write(results | pair_results(warehouse))
     entries = warehouse.entries()
-    shown = [n for n in (*DASHBOARD, *CHURN_PAGE, *PAIR_PAGE) if warehouse.is_current(n)]
-    return warehouse.store.spark.createDataFrame(
-        [(n, entries[n].rows) for n in shown], "table string, rows bigint"
-    )
+    shown = [(n, entries[n].rows if warehouse.is_current(n) else None) for n in RESULTS]
+    return warehouse.store.spark.createDataFrame(shown, "table string, rows bigint")
 
 
-def load_and_refresh(warehouse: Warehouse, raw: dict[str, DataFrame | None]) -> DataFrame:
+def load(
+    warehouse: Warehouse,
+    raw: dict[str, DataFrame | None],
+    permit_rejects: bool = False,
+    keep_first: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Replace the tables from raw frames; summary of (table, rows) and the rejects.
+
+    Texts and records that cannot be read refuse the load, unless permitted; then the values
+    are NULL and the rejects say how many. Repeated dimension numbers refuse it as well,
+    unless the first of them is to be kept.
+    """
+    cleaning = ingest.Cleaning(raw)
+    if keep_first:
+        cleaning.keep_first()
+    summary = warehouse.load(cleaning.tables, (lambda: None) if permit_rejects else cleaning.refuse_rejects)
+    return summary, ingest.rejects_frame(warehouse.store.spark, cleaning.rejects())
+
+
+def load_and_refresh(
+    warehouse: Warehouse,
+    raw: dict[str, DataFrame | None],
+    permit_rejects: bool = False,
+    keep_first: bool = False,
+) -> DataFrame:
     """Replace the tables from raw frames, then retrain and recompute everything."""
-    ingest.check_complete(raw)
-    summary = warehouse.load({t: ingest.clean(t, ingest.bronze(raw[t])) for t in ingest.LOAD_ORDER})
+    summary, rejected = load(warehouse, raw, permit_rejects, keep_first)
     refresh_all(warehouse)
-    return summary
+    return summary.join(
+        rejected.groupBy("table").agg(F.sum("rows").alias("rejected")), "table", "left"
+    ).fillna(0, ["rejected"])

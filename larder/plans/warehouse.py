@@ -1,13 +1,13 @@
 """Clean tables and everything derived from them, each built once per load.
 
-A derived table or model older than the last load of the purchases counts as
-missing and is built again on its next use.
+Every derived table and model is kept with the version of the purchases it was made from.
+One made from any other version than the current counts as missing and is built again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -38,21 +38,42 @@ class Warehouse:
         """Forget what is known of the store, e.g. after another job's load."""
         self._entries = None
         self.__dict__.pop("star", None)
+        self.__dict__.pop("_opened", None)
 
-    def load(self, tables: dict[str, DataFrame | None]) -> DataFrame:
+    def load(
+        self, tables: dict[str, DataFrame | None], before_write: Callable[[], None] = lambda: None
+    ) -> DataFrame:
         """Replace the three clean tables; all derived data becomes outdated."""
-        summary = ingest.replace_tables(self.store, tables)
+        summary = ingest.replace_tables(self.store, tables, before_write)
         self.reload()
         return summary
 
+    @property
+    def source(self) -> str:
+        """The version of the purchases that this warehouse reads, until `reload`."""
+        return self._opened["transactions"].path
+
+    @cached_property
+    def _opened(self) -> dict[str, Entry]:
+        """The loaded tables as they were when first asked for."""
+        return {t: self.entries()[t] for t in ingest.LOAD_ORDER}
+
     def is_current(self, name: str, not_before: dt.datetime | None = None) -> bool:
+        """Derived from the version this warehouse reads, whenever that was."""
         entry = self.entries().get(name)
-        if entry is None or entry.written_at < self.entries()["transactions"].written_at:
+        if entry is None or entry.source != self.source:
             return False
         return not_before is None or entry.written_at >= not_before
 
+    def status(self, names: Sequence[str]) -> DataFrame:
+        """(table, current): whether each result follows from the tables as loaded last."""
+        entries = self.store.entries()
+        loaded = entries["transactions"].path
+        rows = [(n, n in entries and entries[n].source == loaded) for n in names]
+        return self.store.spark.createDataFrame(rows, "table string, current boolean")
+
     def write(self, tables: dict[str, DataFrame]) -> DataFrame:
-        written = self.store.write(tables)
+        written = self.store.write(tables, self.source)
         self._entries = None
         return written
 
@@ -66,7 +87,7 @@ class Warehouse:
 
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
         if not self.is_current(MODEL + name):
-            self.store.save_model(name, fit())
+            self.store.save_model(name, fit(), self.source)
             self._entries = None
         path = self.entries()[MODEL + name].path
         if path not in self._models:
@@ -75,7 +96,7 @@ class Warehouse:
 
     @cached_property
     def star(self) -> Star:
-        return Star.stored(self.store, self.broadcast_bytes)
+        return Star.of_entries(self.store, self._opened, self.broadcast_bytes)
 
     def features(self) -> DataFrame:
         return self.table("features", lambda: rfm.household_features(self.star))
@@ -86,16 +107,26 @@ class Warehouse:
     def pairs(self, top_n: int | None) -> DataFrame:
         return basket.count_pairs(self.basket_items(), top_n)
 
-    def pair_features(self) -> DataFrame:
-        """Features of the 100 most frequent pairs."""
-        return self.table(
-            "pair_features", lambda: basket.top_pair_features(self.star, self.pairs(100))
-        )
+    def pair_features(self, top_n: int | None = 100) -> DataFrame:
+        """Features of the most frequent pairs, or of all."""
+        name = "pair_features" if top_n == 100 else f"pair_features_{top_n}"
+        pairs = self.pairs(top_n)
+        if top_n is None:
+            return self.table(name, lambda: basket.pair_features(pairs, basket.commodity_stats(self.star)))
+        return self.table(name, lambda: basket.top_pair_features(self.star, pairs))
 
-    def clv_model(self) -> PipelineModel:
+    def can_train(self) -> bool:
+        return models.can_train(self.features())
+
+    def clv_model(self) -> PipelineModel | None:
+        """None without households to learn from."""
+        if not self.can_train():
+            return None
         return self.model("clv", lambda: models.train_clv(self.features()))
 
-    def churn_model(self) -> PipelineModel:
+    def churn_model(self) -> PipelineModel | None:
+        if not self.can_train():
+            return None
         return self.model("churn", lambda: models.train_churn(self.features()))
 
     def pair_model(self) -> PipelineModel | None:

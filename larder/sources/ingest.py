@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.expressions import date_or_null, na_to_null
 from larder.sources import schema
+from larder.sources.readers import MALFORMED
 from larder.sources.store import Store
 
 # The fact table first, then its dimensions.
@@ -17,10 +20,18 @@ LOAD_ORDER = ("transactions", "products", "households")
 ROWS_PER_RANGE = 40_000_000
 
 
+# Name that malformed records are counted under.
+RECORD = "(record)"
+
+
 class IncompleteLoad(ValueError):
     """Some of the three inputs are missing, so nothing is written."""
 
 
+class RejectedValues(ValueError):
+    """Some texts or records cannot be read, and the load was not permitted to drop them."""
+
+
 class DuplicateKeys(ValueError):
     """A dimension holds the same numeric key more than once."""
 
@@ -50,15 +61,65 @@ def clean(table: str, bronze_rows: DataFrame) -> DataFrame:
     return bronze_rows.select(*[_typed(c, kind) for c, kind in columns.items()])
 
 
+def _unreadable(table: str) -> list[Column]:
+    """Per typed column, how many texts its type cannot read."""
+    return [
+        F.count_if(F.col(c).isNotNull() & _typed(c, kind).isNull()).alias(c)
+        for c, kind in schema.TABLES[table].items()
+        if kind != "string"
+    ]
+
+
 def unreadable_counts(table: str, bronze_rows: DataFrame) -> DataFrame:
     """One row: per typed column, how many texts its type could not read."""
-    return bronze_rows.agg(
-        *[
-            F.count_if(F.col(c).isNotNull() & _typed(c, kind).isNull()).alias(c)
-            for c, kind in schema.TABLES[table].items()
-            if kind != "string"
-        ]
-    )
+    return bronze_rows.agg(*_unreadable(table))
+
+
+def _rejects(table: str, bronze_rows: DataFrame) -> list[Column]:
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in bronze_rows.columns else F.lit(False)
+    return [F.count_if(malformed).alias(RECORD), *_unreadable(table)]
+
+
+def rejects(bronze_tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, rows): unreadable texts per column, and malformed records as RECORD."""
+    parts = []
+    for table, rows in bronze_tables.items():
+        counts = rows.agg(*_rejects(table, rows))
+        cells = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column"), F.col(c).alias("rows")) for c in counts.columns]
+        parts.append(counts.select(F.inline(F.array(*cells))))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.filter("rows > 0")
+
+
+class Cleaning:
+    """Raw tables cleaned, their rejects counted by whichever job reads them first."""
+
+    def __init__(self, raw: dict[str, DataFrame | None]):
+        check_complete(raw)
+        self.tables: dict[str, DataFrame] = {}
+        self._seen: dict[str, Observation] = {}
+        for table in LOAD_ORDER:
+            rows = bronze(raw[table])
+            self._seen[table] = Observation()
+            self.tables[table] = clean(table, rows.observe(self._seen[table], *_rejects(table, rows)))
+
+    def keep_first(self) -> Cleaning:
+        """Repeated dimension numbers reduced to one row instead of refused."""
+        for table, key in schema.KEYS.items():
+            self.tables[table] = keep_first(self.tables[table], key)
+        return self
+
+    def rejects(self) -> list[tuple[str, str, int]]:
+        """(table, column, rows) with rows; only after the tables have been read."""
+        return [(t, c, n) for t in LOAD_ORDER for c, n in self._seen[t].get.items() if n]
+
+    def refuse_rejects(self) -> None:
+        found = self.rejects()
+        if found:
+            said = ", ".join(f"{t}.{c}: {n}" for t, c, n in found)
+            raise RejectedValues(f"values or records that cannot be read ({said}); nothing was loaded")
 
 
 def check_complete(inputs: dict[str, DataFrame | None]) -> None:
@@ -88,6 +149,10 @@ def keep_first(df: DataFrame, key: str) -> DataFrame:
     return best.select(key, "row.*").select(*df.columns)
 
 
+def rejects_frame(spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
+    return spark.createDataFrame(found, "table string, column string, rows bigint")
+
+
 def cluster(transactions: DataFrame, rows: int) -> DataFrame:
     """Order the files by household and basket; `transactions` is a written table.
 
@@ -108,9 +173,15 @@ def cluster(transactions: DataFrame, rows: int) -> DataFrame:
     return ranges.sortWithinPartitions("HSHD_NUM", "BASKET_NUM").drop("row")
 
 
-def replace_tables(store: Store, tables: dict[str, DataFrame | None]) -> DataFrame:
+def replace_tables(
+    store: Store,
+    tables: dict[str, DataFrame | None],
+    before_write: Callable[[], None] = lambda: None,
+) -> DataFrame:
     """Replace all three clean tables at once; summary of (table, rows).
 
+    All three have been read once when `before_write` runs; it may refuse the load.
+
     Readers see the old three until the new three are committed together. The
     purchases are written aside first: ordering them reads its input twice, and
     the number of ranges follows from their count.
@@ -122,6 +193,7 @@ def replace_tables(store: Store, tables: dict[str, DataFrame | None]) -> DataFra
     new = {t: tables[t] for t in LOAD_ORDER}
     new["transactions"] = cluster(store.spark.read.parquet(staged), rows)
     try:
+        before_write()
         return store.write(new).select("table", "rows")
     finally:
         store.discard(staged)

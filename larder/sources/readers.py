@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Holds records that do not fit the header.
+MALFORMED = "_malformed_record"
+
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header line, every column as text, nothing inferred.
@@ -12,6 +15,9 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     The header of the first file names the columns, and each further file must
     carry the same header. Quotes are doubled inside quoted fields. Files split
     across tasks unless `multi_line` is needed for line breaks inside fields.
+
+    A record of more or fewer fields than the header stands whole in the column MALFORMED,
+    which is NULL for all others; `ingest` counts those records.
     """
     options = {
         "header": True,
@@ -21,8 +27,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         "inferSchema": False,
     }
     names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
+    # Without pruning: a record is judged by all its fields, whichever are asked for.
+    marked = {"enforceSchema": False, "columnNameOfCorruptRecord": MALFORMED, "columnPruning": False}
+    return spark.read.options(**options, **marked).schema(schema).csv(path)
 
 
 def read_jdbc(

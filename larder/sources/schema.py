@@ -8,7 +8,7 @@ TRANSACTIONS = {
     "HSHD_NUM": "bigint",
     "PURCHASE_DATE": "date",
     "PRODUCT_NUM": "bigint",
-    "SPEND": "decimal(10,2)",
+    "SPEND": "decimal(20,4)",
     "UNITS": "int",
     "STORE_R": "string",
     "WEEK_NUM": "int",

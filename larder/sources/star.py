@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.sources.ingest import check_unique
-from larder.sources.store import Store, row_bytes
+from larder.sources.store import Entry, Store, row_bytes
 
 # A dimension is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -52,8 +52,10 @@ class Star:
     @classmethod
     def stored(cls, store: Store, broadcast_bytes: int = BROADCAST_BYTES) -> Star:
         """From a store; the sizes were measured when the tables were written."""
-        entries = store.entries()
+        return cls.of_entries(store, store.entries(), broadcast_bytes)
 
+    @classmethod
+    def of_entries(cls, store: Store, entries: dict[str, Entry], broadcast_bytes: int) -> Star:
         def read(name: str) -> DataFrame:
             return store.spark.read.parquet(entries[name].path)
 

@@ -26,7 +26,7 @@ ROWS_PER_FILE = 5_000_000
 # Prefix of model names in the manifest.
 MODEL = "model:"
 
-MANIFEST = "table string, path string, rows bigint, bytes bigint, written_at timestamp"
+MANIFEST = "table string, path string, rows bigint, bytes bigint, written_at timestamp, source string"
 
 
 def utc_now() -> dt.datetime:
@@ -41,7 +41,7 @@ def storage_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="larder-")
     if context.getCheckpointDir() is None:
@@ -64,6 +64,8 @@ class Entry:
     rows: int
     bytes: int
     written_at: dt.datetime
+    # The version of the purchases it was derived from; None for loaded tables.
+    source: str | None = None
 
 
 class Store:
@@ -71,9 +73,11 @@ class Store:
         self.spark = spark
         self.root = root
 
-    def write(self, tables: dict[str, DataFrame]) -> DataFrame:
+    def write(self, tables: dict[str, DataFrame], source: str | None = None) -> DataFrame:
         """Write all tables, then make them current; returns their manifest rows.
 
+        `source` names the version that they were derived from.
+
         A few tables are written at a time, so that one's last tasks do not leave
         the executors idle.
         """
@@ -98,7 +102,7 @@ class Store:
             for name in tables:
                 self._delete(f"{self.root}/data/{name}/{version}")
             raise
-        return self._commit(done)
+        return self._commit(done, source)
 
     def stage(self, df: DataFrame) -> tuple[str, int]:
         """Write a frame aside; its folder and row count."""
@@ -122,27 +126,43 @@ class Store:
         Choose a moment that no running reader opened its tables before.
         """
         current = {e.path for e in self.entries().values()}
-        old = self._manifest().filter(F.col("written_at") < F.lit(before)).select("path").collect()
-        gone = [r["path"] for r in old if r["path"] not in current]
-        return sum(self._delete(path) for path in gone)
+        manifest = self._manifest()
+        old = manifest.filter(F.col("written_at") < F.lit(before)).select("path")
+        gone = [r["path"] for r in old.distinct().collect() if r["path"] not in current]
+        deleted = sum(self._delete(path) for path in gone)
+        self._compact(manifest, before)
+        return deleted
+
+    def _compact(self, manifest: DataFrame, before: dt.datetime) -> None:
+        """One manifest folder in place of those of before the moment, current rows only."""
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("folder")
+        of_folder = manifest.select("*", folder).groupBy("folder").agg(F.max("written_at").alias("last"))
+        folders = [r["folder"] for r in of_folder.filter(F.col("last") < F.lit(before)).collect()]
+        if len(folders) < 2:
+            return
+        kept = [(n, e.path, e.rows, e.bytes, e.written_at, e.source) for n, e in self.entries().items() if e.written_at < before]
+        rows = self.spark.createDataFrame(kept, MANIFEST)
+        rows.coalesce(1).write.parquet(f"{self.root}/manifest/{uuid.uuid4().hex}")
+        for path in folders:
+            self._delete(path)
 
     def _delete(self, path: str) -> bool:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         files = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return files.delete(jvm_path, True)
 
-    def save_model(self, name: str, model: PipelineModel) -> None:
+    def save_model(self, name: str, model: PipelineModel, source: str | None = None) -> None:
         """Save as a new version and make it current."""
         path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
         model.write().save(path)
-        self._commit([(MODEL + name, path, 0, 0)])
+        self._commit([(MODEL + name, path, 0, 0)], source)
 
     def load_model(self, name: str) -> PipelineModel:
         return PipelineModel.load(self.entries()[MODEL + name].path)
 
-    def _commit(self, done: list[tuple[str, str, int, int]]) -> DataFrame:
+    def _commit(self, done: list[tuple[str, str, int, int]], source: str | None) -> DataFrame:
         now = utc_now()
-        rows = self.spark.createDataFrame([(*d, now) for d in done], MANIFEST)
+        rows = self.spark.createDataFrame([(*d, now, source) for d in done], MANIFEST)
         rows.coalesce(1).write.parquet(f"{self.root}/manifest/{uuid.uuid4().hex}")
         return rows
 
@@ -157,7 +177,7 @@ class Store:
     def entries(self) -> dict[str, Entry]:
         """The current version of every table; one small row each."""
         newest = self._manifest().groupBy("table").agg(
-            F.max_by(F.struct("path", "rows", "bytes", "written_at"), "written_at").alias("e")
+            F.max_by(F.struct("path", "rows", "bytes", "written_at", "source"), "written_at").alias("e")
         )
         return {
             r["table"]: Entry(
@@ -165,6 +185,7 @@ class Store:
                 r["e"]["rows"],
                 r["e"]["bytes"],
                 r["e"]["written_at"].astimezone(dt.timezone.utc),
+                r["e"]["source"],
             )
             for r in newest.collect()
         }

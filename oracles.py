@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.sources import fixture
+import fixtures as fixture
 
 _NAMES = {t: t for t in fixture.SOURCE_TABLES}
 
@@ -87,7 +87,8 @@ PAIRS_10 = "SELECT * FROM pairs ORDER BY times_bought_together DESC, item_1, ite
 def _priority(high: int, medium: int) -> str:
     return (
         f"SELECT item_1, item_2, times_bought_together, CASE WHEN times_bought_together > {high} THEN 'High' "
-        f"WHEN times_bought_together > {medium} THEN 'Medium' ELSE 'Emerging' END AS priority FROM pairs"
+        f"WHEN times_bought_together > {medium} THEN 'Medium' ELSE 'Emerging' END AS priority FROM "
+        "(SELECT * FROM pairs ORDER BY times_bought_together DESC, item_1, item_2 LIMIT 20)"
     )
 
 
@@ -95,6 +96,7 @@ BASKETS = {
     "basket": PAIRS_10,
     "basket_pairs_100": "SELECT * FROM pairs_100",
     "basket_pairs_20": "SELECT * FROM pairs_100 ORDER BY times_bought_together DESC, item_1, item_2 LIMIT 20",
+    "basket_large": PAIRS_10,
     "basket_all_pairs": "SELECT * FROM pairs",
     "basket_ranked": "SELECT row_number() OVER (ORDER BY times_bought_together DESC, item_1, item_2) AS rank, * "
     f"FROM ({PAIRS_10})",
@@ -130,6 +132,7 @@ def _page(first: str, offset: int, where: str = "") -> str:
 DETAILS = {
     "data_pull_page": _page("t.HSHD_NUM NULLS FIRST", 0, "WHERE t.HSHD_NUM = 10"),
     "data_pull_all_page": _page("t.SPEND DESC NULLS LAST", 200),
+    "data_pull_deep_page": _page("t.SPEND DESC NULLS LAST", 200),
     "data_pull_all_by_department": _page("p.DEPARTMENT NULLS FIRST", 100),
     "data_pull_next_page": _page("t.SPEND DESC NULLS LAST", 300),
     "data_pull_count": "SELECT count(*) AS cnt FROM transactions WHERE HSHD_NUM = 10",
@@ -168,6 +171,7 @@ DATES_AS_TEXT = (
     "* REPLACE (CAST(last_purchase AS VARCHAR) AS last_purchase, CAST(snapshot_date AS VARCHAR) AS snapshot_date)"
 )
 
+# The labels, segments, strategies and bands that the jobs must show.
 CORRELATIONS = " UNION ALL ".join(
     f"SELECT '{label}' AS feature, round_even(corr({c}, churned), 3) AS correlation FROM labelled"
     for c, label in {
@@ -180,7 +184,50 @@ CORRELATIONS = " UNION ALL ".join(
 )
 
 BINS = "CASE WHEN p <= 0.3 THEN 'Low Risk' WHEN p <= 0.6 THEN 'Medium Risk' ELSE 'High Risk' END"
-ABSENCE = "SELECT HSHD_NUM, least(recency, 1000) / 1000.0::DOUBLE AS p FROM features"
+ABSENCE = "SELECT HSHD_NUM, recency / CAST((SELECT nullif(max(recency), 0) FROM features) AS DOUBLE) AS p FROM features"
+BY_RULE = f"SELECT f.HSHD_NUM, total_spend * 2 AS clv_score, p AS churn_prob, {BINS} AS risk_segment, recency, frequency, " \
+    f"total_spend FROM features f JOIN ({ABSENCE}) a ON f.HSHD_NUM = a.HSHD_NUM"
+HITS = "SELECT churned = 1 AS a, frequency < 10 AS p FROM labelled"
+
+
+def _share(part: str, whole: str) -> str:
+    return f"coalesce(CAST({part} AS DOUBLE) / nullif({whole}, 0), 0.0)"
+
+
+_REPORT = f"""
+SELECT * FROM (WITH counted AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE NOT a AND NOT p) AS h0, count(*) FILTER (WHERE a AND p) AS h1,
+    count(*) FILTER (WHERE NOT a) AS a0, count(*) FILTER (WHERE a) AS a1, count(*) FILTER (WHERE NOT p) AS p0,
+    count(*) FILTER (WHERE p) AS p1 FROM ({HITS})),
+rates AS (
+  SELECT *, {_share('h0', 'p0')} AS pr0, {_share('h1', 'p1')} AS pr1, {_share('h0', 'a0')} AS re0, {_share('h1', 'a1')} AS re1,
+    {_share('2 * h0', 'p0 + a0')} AS f0, {_share('2 * h1', 'p1 + a1')} AS f1 FROM counted),
+lines AS (
+  SELECT '0' AS class, pr0 AS precision, re0 AS recall, f0 AS f1, a0 AS support FROM rates
+  UNION ALL SELECT '1', pr1, re1, f1, a1 FROM rates
+  UNION ALL SELECT 'accuracy', NULL, NULL, {_share('h0 + h1', 'n')}, n FROM rates
+  UNION ALL SELECT 'macro avg', (pr0 + pr1) / 2, (re0 + re1) / 2, (f0 + f1) / 2, n FROM rates
+  UNION ALL SELECT 'weighted avg', {_share('pr0 * a0 + pr1 * a1', 'n')}, {_share('re0 * a0 + re1 * a1', 'n')},
+    {_share('f0 * a0 + f1 * a1', 'n')}, n FROM rates)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM lines)"""
+
+RULE_QUERIES = {
+    "churn_counts_by_rule": f"SELECT s.risk_segment, count(b.HSHD_NUM) AS n FROM (VALUES ('Low Risk'), ('Medium Risk'), "
+    f"('High Risk')) s(risk_segment) LEFT JOIN ({BY_RULE}) b ON s.risk_segment = b.risk_segment GROUP BY 1",
+    "churn_stats_by_rule": "SELECT count(*) AS total, count(*) FILTER (WHERE risk_segment = 'High Risk') AS high_risk, "
+    "count(*) FILTER (WHERE risk_segment = 'Medium Risk') AS medium_risk, "
+    "count(*) FILTER (WHERE risk_segment = 'Low Risk') AS low_risk, round_even(avg(clv_score), 2) AS avg_clv, "
+    f"round_even(max(clv_score), 2) AS max_clv FROM ({BY_RULE})",
+    "top_clv_by_rule": "SELECT row_number() OVER (ORDER BY clv_score DESC, HSHD_NUM) AS place, HSHD_NUM, clv_score, churn_prob, "
+    f"risk_segment, frequency, recency FROM ({BY_RULE}) ORDER BY place LIMIT 10",
+    "churn_order_by_rule": f"SELECT row_number() OVER (ORDER BY churn_prob DESC, HSHD_NUM) AS place, HSHD_NUM FROM ({BY_RULE})",
+    "prediction_display_by_rule": "SELECT HSHD_NUM, printf('%.2f', round_even(clv_score, 2)) AS clv_text, "
+    "CAST(round_even(churn_prob * 100, 0) AS BIGINT) || '%' AS churn_text, CAST(floor(churn_prob * 100) AS BIGINT) AS bar_width, "
+    f"printf('%.2f', round_even(total_spend, 2)) AS spend_text FROM ({BY_RULE})",
+    "churn_report_by_rule": _REPORT,
+    "regression_quality_by_rule": "SELECT round(1 - avg(e * e) / nullif(var_pop(total_spend), 0), 6) AS r2, "
+    "round(avg(abs(e)), 4) AS mae FROM (SELECT total_spend, total_spend - avg_basket_value * 3 AS e FROM features)",
+}
 
 HOUSEHOLD_QUERIES = {
     "snapshot_date": "SELECT CAST(d AS VARCHAR) AS snap_date FROM snap",
@@ -211,6 +258,18 @@ def _cell(row: str, column: str, value: str, name: str) -> str:
     return f"coalesce(max(CASE WHEN {column} = {value} THEN total_spend END), 0.0) AS \"{name}\""
 
 
+def _grid(source: str, row: str, column: str) -> str:
+    return (
+        f"SELECT r.{row}, c.{column}, coalesce(x.total_spend, 0.0) AS total_spend FROM (SELECT DISTINCT {row} FROM ({source})) r "
+        f"CROSS JOIN (SELECT DISTINCT {column} FROM ({source}) WHERE {column} IS NOT NULL) c LEFT JOIN ({source}) x "
+        f"ON r.{row} IS NOT DISTINCT FROM x.{row} AND c.{column} = x.{column}"
+    )
+
+
+def _in_order(source: str, order: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, * FROM ({source})"
+
+
 def _pivot(source: str, row: str, column: str, values: dict[str, str]) -> str:
     cells = ", ".join(_cell(row, column, v, n) for n, v in values.items())
     return f"SELECT {row}, {cells} FROM ({source}) GROUP BY {row}"
@@ -230,16 +289,17 @@ DISPLAYS = {
     "seasonal_ordered": "SELECT d.season_order, d.season, coalesce(s.total_spend, 0.0) AS total_spend FROM "
     "(VALUES (1, 'Spring'), (2, 'Summer'), (3, 'Fall'), (4, 'Winter')) d(season_order, season) "
     f"LEFT JOIN ({SUMMARIES['seasonal']}) s ON d.season = s.season",
-    "dept_year_pivot": _pivot(
-        SUMMARIES["dept_year"], "DEPARTMENT", "YEAR", {str(y): str(y) for y in range(1995, 2002)}
-    ),
+    "dept_year_pivot": _grid(SUMMARIES["dept_year"], "DEPARTMENT", "YEAR"),
     "seasonal_dept_pivot": _pivot(SUMMARIES["seasonal_commodity"], "DEPARTMENT", "season", _SEASONS),
-    "brand_income_pivot": _pivot(
-        SUMMARIES["brand_income"],
-        "INCOME_RANGE",
-        "BRAND_TY",
-        {"NATIONAL": "'NATIONAL'", "PRIVATE": "'PRIVATE'"},
+    "brand_income_pivot": _grid(SUMMARIES["brand_income"], "INCOME_RANGE", "BRAND_TY"),
+    "brand_any_name_pivot": _grid(
+        SUMMARIES["brand_income"].replace("JOIN products p", f"JOIN ({fixture.ODD_PRODUCTS.format(**_NAMES, products='products')}) p"),
+        "INCOME_RANGE", "BRAND_TY",
     ),
+    "weekly_in_order": _in_order(SUMMARIES["weekly"], "YEAR NULLS FIRST, WEEK_NUM NULLS FIRST"),
+    "income_in_order": _in_order(SUMMARIES["income"], "avg_spend DESC, INCOME_RANGE"),
+    "dept_in_order": _in_order(SUMMARIES["dept"], "total_spend DESC, DEPARTMENT"),
+    "dept_year_in_order": _in_order(SUMMARIES["dept_year"], "YEAR, total_spend DESC, DEPARTMENT"),
     "brand_json": "SELECT CAST(to_json({BRAND_TY: BRAND_TY, transaction_count: transaction_count}) AS VARCHAR) AS json "
     f"FROM ({SUMMARIES['brand']})",
 }
@@ -269,7 +329,7 @@ INGEST = {
     "ingest_bronze": _bronze("raw_transactions", _TX).replace("AS PURCHASE_,", "AS PURCHASE_DATE,"),
     "ingest_clean": "SELECT TRY_CAST(BASKET_NUM AS BIGINT) AS BASKET_NUM, TRY_CAST(HSHD_NUM AS BIGINT) AS HSHD_NUM, "
     "CAST(TRY_CAST(PURCHASE_ AS DATE) AS VARCHAR) AS PURCHASE_DATE, TRY_CAST(PRODUCT_NUM AS BIGINT) AS PRODUCT_NUM, "
-    "CAST(TRY_CAST(SPEND AS DECIMAL(10,2)) AS DOUBLE) AS SPEND, TRY_CAST(UNITS AS INTEGER) AS UNITS, STORE_R, "
+    "CAST(TRY_CAST(SPEND AS DECIMAL(20,4)) AS DOUBLE) AS SPEND, TRY_CAST(UNITS AS INTEGER) AS UNITS, STORE_R, "
     "TRY_CAST(WEEK_NUM AS INTEGER) AS WEEK_NUM, TRY_CAST(YEAR AS INTEGER) AS YEAR FROM raw_transactions",
     "ingest_clean_households": _clean(_bronze("raw_households", _HH), "HSHD_NUM", _HH[1:]),
     "ingest_clean_products": _clean(_bronze("raw_products", _PR), "PRODUCT_NUM", _PR[1:]),
@@ -281,7 +341,7 @@ INGEST = {
             ("HSHD_NUM", "HSHD_NUM", "BIGINT"),
             ("PURCHASE_DATE", "PURCHASE_", "DATE"),
             ("PRODUCT_NUM", "PRODUCT_NUM", "BIGINT"),
-            ("SPEND", "SPEND", "DECIMAL(10,2)"),
+            ("SPEND", "SPEND", "DECIMAL(20,4)"),
             ("UNITS", "UNITS", "INTEGER"),
             ("WEEK_NUM", "WEEK_NUM", "INTEGER"),
             ("YEAR", "YEAR", "INTEGER"),
@@ -301,6 +361,28 @@ INGEST["ingest_households_first"] = (
 )
 
 
+_DIRTY = fixture.DIRTY_TRANSACTIONS.format(raw_transactions="raw_transactions")
+_REJECTED = [("PURCHASE_DATE", "PURCHASE_", "DATE"), ("SPEND", "SPEND", "DECIMAL(20,4)"), ("UNITS", "UNITS", "INTEGER")]
+# A year of more than four digits is no date; neither is text with a fraction a whole number.
+_READABLE = {"DATE": "regexp_matches({c}, '^[0-9]{{4}}-')", "INTEGER": "regexp_matches({c}, '^[0-9]+$')"}
+
+
+def _read(c: str, kind: str) -> str:
+    known = _READABLE.get(kind, "true").format(c=c)
+    return f"CASE WHEN {known} THEN TRY_CAST({c} AS {kind}) END"
+
+
+INGEST["ingest_rejects"] = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT 'transactions' AS \"table\", '{n}' AS \"column\", count(*) FILTER (WHERE {c} IS NOT NULL AND {_read(c, k)} IS NULL) "
+    f"AS \"rows\" FROM ({_DIRTY})" for n, c, k in _REJECTED
+) + ') WHERE "rows" > 0'
+INGEST["ingest_dirty"] = (
+    "SELECT TRY_CAST(BASKET_NUM AS BIGINT) AS BASKET_NUM, TRY_CAST(HSHD_NUM AS BIGINT) AS HSHD_NUM, "
+    f"CAST({_read('PURCHASE_', 'DATE')} AS VARCHAR) AS PURCHASE_DATE, TRY_CAST(PRODUCT_NUM AS BIGINT) AS PRODUCT_NUM, "
+    f"CAST({_read('SPEND', 'DECIMAL(20,4)')} AS DOUBLE) AS SPEND, {_read('UNITS', 'INTEGER')} AS UNITS, STORE_R, "
+    f"TRY_CAST(WEEK_NUM AS INTEGER) AS WEEK_NUM, TRY_CAST(YEAR AS INTEGER) AS YEAR FROM ({_DIRTY})"
+)
+
 # Rows of each result a refresh writes.
 _ROWS = {name: f"SELECT count(*) FROM ({query})" for name, query in (SUMMARIES | {"basket": PAIRS_10}).items()} | {
     "top_clv": "SELECT least(10, count(*)) FROM features",
@@ -317,7 +399,18 @@ _ROWS = {name: f"SELECT count(*) FROM ({query})" for name, query in (SUMMARIES |
     "basket_model_summary": "SELECT 1",
 }
 
+_MEASURES = {
+    "income": "hh_count", "hhsize": "avg_spend", "children": "hh_count", "region": "total_spend", "weekly": "spend",
+    "dept_year": "total_spend", "seasonal": "total_spend", "seasonal_commodity": "total_spend", "brand": "total_spend",
+    "organic": "total_spend", "brand_income": "total_spend", "dept": "total_spend", "commodity": "total_spend",
+    "basket": "times_bought_together",
+}
+
 REFRESH = {
+    "refresh_written": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", count(*) AS \"rows\", round(CAST(sum({m}) AS DOUBLE), 2) AS total FROM ({q})"
+        for name, m in _MEASURES.items() for q in [(SUMMARIES | {"basket": PAIRS_10})[name]]
+    ),
     "refresh_all": " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", CAST(({rows}) AS BIGINT) AS \"rows\"" for name, rows in _ROWS.items()
     )
@@ -331,10 +424,14 @@ def oracle_sql() -> dict[str, str]:
         (BASKETS, f"{TYPED},{BASKET_CTES}"),
         (DETAILS, TYPED),
         (HOUSEHOLD_QUERIES, f"{TYPED},{RFM_CTES}"),
+        (RULE_QUERIES, f"{TYPED},{RFM_CTES}"),
         (DISPLAYS, TYPED),
         (INGEST, f"{TYPED},\n{RAW}"),
         (REFRESH, f"{TYPED},{BASKET_CTES},{RFM_CTES}"),
     ):
         for name, query in group.items():
             sql[name] = f"WITH {ctes}\n{query}"
+    for name in ("income", "children", "dept_year", "brand", "organic", "brand_income", "dept", "commodity", "commodity_stats",
+                 "household_features", "data_pull_all_by_department"):
+        sql[f"{name}_large"] = sql[name]
     return sql

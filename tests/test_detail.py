@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+from dataclasses import replace
 
 import pytest
 
@@ -62,7 +63,7 @@ def test_pages_add_up(star, name, descending):
     columns = [name, *[c for c in detail.TIE_BREAK if c != name]]
     lines = detail._sortable_lines(star, None, name)
     for skip in (0, 37, 110, 231, 240):
-        page = paging.page_of(lines, columns, descending, skip, 20, most=25).collect()
+        page = paging.page_of(lines, columns, descending, skip, 20, most=25, near=0).collect()
         assert [tuple(r[c] for c in columns) for r in page] == [
             tuple(r[c] for c in columns) for r in expected[skip : skip + 20]
         ]
@@ -114,5 +115,18 @@ def test_empty_listing(spark, make_star):
 def test_equal_rows_and_huge_numbers(spark):
     rows = [line(2**62 + i % 3, 1, 1, 1) for i in range(30)]
     df = frame(spark, "transactions", rows)
-    page = paging.page_of(df, ["BASKET_NUM", "HSHD_NUM"], True, 8, 5, most=4)
+    page = paging.page_of(df, ["BASKET_NUM", "HSHD_NUM"], True, 8, 5, most=4, near=0)
     assert [r["BASKET_NUM"] - 2**62 for r in page.collect()] == [2, 2, 1, 1, 1]
+
+
+@pytest.mark.parametrize("name,descending", [("SPEND", True), ("HSHD_NUM", False), ("PURCHASE_DATE", True)])
+def test_first_and_next_page_are_one_scan_with_a_pushed_filter(spark, store, star, capsys, name, descending):
+    store.write({"transactions": star.transactions})
+    stored = replace(star, transactions=store.read("transactions"))
+    first = detail.household_detail(stored, None, name, descending)
+    last = first.tail(1)[0].asDict()
+    for page in (first, detail.household_detail_after(stored, last, None, name, descending)):
+        page.explain("formatted")
+        plan = capsys.readouterr().out
+        assert plan.count("/data/transactions/") == 1
+    assert any(f"({name}," in line for line in plan.splitlines() if "PushedFilters" in line)

@@ -4,8 +4,10 @@ from types import SimpleNamespace
 
 import pytest
 
+from larder.functions.expressions import date_or_null
+from larder.plans import refresh
 from larder.plans.warehouse import Warehouse
-from larder.sources import ingest, readers
+from larder.sources import ingest, readers, schema
 from larder.sources.star import Star
 from larder.sources.store import utc_now
 from tests.conftest import frame, line, text_frame, tuples
@@ -50,9 +52,9 @@ def cleaned(spark, files, table):
 
 def test_clean_transactions(spark, files):
     df = cleaned(spark, files, "transactions")
-    assert dict(df.dtypes)["SPEND"] == "decimal(10,2)"
+    assert dict(df.dtypes)["SPEND"] == "decimal(20,4)"
     assert tuples(df) == [
-        (7, 10, dt.date(2018, 8, 24), 5, Decimal("1.01"), 2, "EAST", 5, 2018),
+        (7, 10, dt.date(2018, 8, 24), 5, Decimal("1.005"), 2, "EAST", 5, 2018),
         (8, 11, dt.date(2018, 8, 25), 6, None, None, None, None, 2018),
         (9, 12, None, 6, Decimal("-3.50"), 1, 'WE"ST, N', None, 2018),
     ]
@@ -174,3 +176,53 @@ def test_database_reads_are_partitioned():
     reader = SimpleNamespace(jdbc=lambda url, table, **options: seen.update(url=url, table=table, **options))
     readers.read_jdbc(SimpleNamespace(read=reader), "jdbc:x", "transactions", "HSHD_NUM", 1, 5000, 16)
     assert (seen["column"], seen["lowerBound"], seen["upperBound"], seen["numPartitions"]) == ("HSHD_NUM", 1, 5000, 16)
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [("2018-08-24", dt.date(2018, 8, 24)), ("2018-8-4", dt.date(2018, 8, 4)), ("24-AUG-18", dt.date(2018, 8, 24)),
+     ("20180824", dt.date(2018, 8, 24)), ("8/24/2018", dt.date(2018, 8, 24)), ("43336", None), ("201808", None), ("2018", None)],
+)
+def test_dates(spark, text, expected):
+    rows = text_frame(spark, ["d"], [(text,)])
+    assert rows.select(date_or_null("d")).first()[0] == expected
+
+
+def test_money_is_held_wide(spark, files, store):
+    rows = text_frame(spark, list(schema.TRANSACTIONS), [("1", "1", "2020-01-01", "1", s, "1", "E", "1", "2020") for s in ("123456789.50", "1.005")])
+    values = {r["SPEND"] for r in ingest.clean("transactions", rows).collect()}
+    assert values == {Decimal("123456789.5"), Decimal("1.005")}
+
+
+DIRTY = [
+    "BASKET_NUM,HSHD_NUM,PURCHASE_,PRODUCT_NUM,SPEND,UNITS,STORE_R,WEEK_NUM,YEAR",
+    "1,10,2018-08-24,5,$3.10,1,EAST,34,2018",
+    "2,10,43336,5,1.00,2.0,EAST,34,2018",
+    "3,10,2018-08-24,5,1.00,1,EAST,34,2018,more",
+    "4,10,2018-08-24",
+]
+
+
+def test_rejects_refuse_a_load_unless_permitted(spark, store, files, tmp_path):
+    files["transactions"] = write(tmp_path / "dirty.csv", *DIRTY)
+    found = {("transactions", "SPEND", 1), ("transactions", "UNITS", 1), ("transactions", "PURCHASE_DATE", 1), ("transactions", "(record)", 2)}
+    bronze = {t: ingest.bronze(df) for t, df in raw(spark, files).items()}
+    assert set(tuples(ingest.rejects(bronze))) == found
+    warehouse = Warehouse(store)
+    with pytest.raises(ingest.RejectedValues, match="SPEND: 1"):
+        refresh.load(warehouse, raw(spark, files))
+    assert store.entries() == {}
+    summary, rejected = refresh.load(warehouse, raw(spark, files), permit_rejects=True)
+    assert set(tuples(rejected)) == found
+    assert tuples(summary)[0] == ("transactions", 4)
+    assert store.read("transactions").columns == list(schema.TRANSACTIONS)
+
+
+def test_keep_first_on_load(spark, store, files, tmp_path):
+    files["households"] = write(tmp_path / "twice.csv", HOUSEHOLD_HEADER, "0010,Y,a,M,b,O,y,2,1", "10,N,a,M,b,O,y,2,1")
+    files["transactions"] = write(tmp_path / "clean.csv", DIRTY[0], "1,10,2018-08-24,5,3.10,1,EAST,34,2018")
+    warehouse = Warehouse(store)
+    with pytest.raises(ingest.DuplicateKeys):
+        refresh.load(warehouse, raw(spark, files))
+    refresh.load(warehouse, raw(spark, files), keep_first=True)
+    assert [(r["HSHD_NUM"], r["L"]) for r in store.read("households").collect()] == [(10, "N")]

@@ -1,42 +1,30 @@
 """Large-dimension paths give the results of the broadcast paths, hot keys or not."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from larder.operators import basket, dashboard, detail, rfm
-from larder.operators.joins import split_hot_join
+from larder.operators.joins import join_dimension
 from larder.plans.refresh import SUMMARIES
-from tests.conftest import line, tuples
+from larder.plans.warehouse import Warehouse
+from tests.conftest import frame, line, tuples
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_hot_and_missing_keys(spark, how):
+def test_large_dimension(spark, how):
     rows = [(7, i) for i in range(1000)] + [(k, k) for k in range(2000)] + [(None, -1)] * 500 + [(9999, 0)]
     fact = spark.createDataFrame(rows, "k int, v int").repartition(8)
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(1500)], "k int, name string")
     expected = tuples(fact.join(dim, "k", how))
-    assert sorted(tuples(split_hot_join(fact, dim, "k", how)), key=repr) == sorted(expected, key=repr)
-
-
-def test_hot_key_is_not_gathered(spark):
-    """A third of the rows share a key; no partition of the joined rows holds near as much."""
-    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v").repartition(8)
-    dim = spark.range(30_000).selectExpr("id AS k", "id * 2 AS w")
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    assert sorted(tuples(join_dimension(fact, dim, "k", False, how)), key=repr) == sorted(expected, key=repr)
 
-    def largest(joined):
-        counts = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in counts) == 30_000
-        return max(r["count"] for r in counts)
 
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        assert largest(rows.join(dim, "k")) > 10_000
-        assert largest(split_hot_join(rows, dim, "k")) < 4_000
-    finally:
-        for key in settings:
-            spark.conf.unset(key)
+@pytest.mark.parametrize("name", ["income", "dept", "organic", "commodity_stats"])
+def test_large_dimensions_read_the_purchases_once(spark, store, skewed, capsys, name):
+    tables = {t: frame(spark, t, rows) for t, rows in zip(("transactions", "households", "products"), skewed)}
+    warehouse = Warehouse(store, broadcast_bytes=0)
+    warehouse.load(tables)
+    JOBS[name](warehouse.star).explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("/data/transactions/") == 1
 
 
 @pytest.fixture(scope="module")

@@ -22,9 +22,9 @@ def test_load_show_detail(csv_files, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(refresh, "refresh_all", lambda w: w.write({"dept": refresh.SUMMARIES["dept"](w.star)}))
     store = str(tmp_path / "store")
     main(["load", store, *csv_files])
-    assert "|transactions|2" in capsys.readouterr().out
+    assert "transactions\t2\t0" in capsys.readouterr().out
     main(["show", store, "dept"])
-    assert "|FOOD      |3.75" in capsys.readouterr().out
+    assert "FOOD\t3.75" in capsys.readouterr().out
     main(["detail", store, "--household", "0010"])
     out = capsys.readouterr().out
     assert "MILK" in out and "2.50" in out and "1.25" not in out

@@ -42,13 +42,24 @@ def test_split_is_four_to_one(spark):
 
 
 def test_sample(spark):
-    df = spark.range(100).withColumnRenamed("id", "HSHD_NUM")
-    chosen = {r[0] for r in models.sample_rows(df, 10).collect()}
-    assert len(chosen) == 10
-    assert chosen == {r[0] for r in models.sample_rows(df.repartition(7), 10).collect()}
-    assert models.sample_rows(df).count() == 100
-    hashed = df.select("HSHD_NUM", F.xxhash64("HSHD_NUM", F.lit(42)).alias("h")).collect()
-    assert chosen == {r["HSHD_NUM"] for r in sorted(hashed, key=lambda r: r["h"])[:10]}
+    df = spark.range(10_000).withColumnRenamed("id", "HSHD_NUM")
+    chosen = {r[0] for r in models.sample_rows(df, 1000).collect()}
+    assert 900 < len(chosen) < 1100
+    assert chosen == {r[0] for r in models.sample_rows(df.repartition(7), 1000).collect()}
+    assert chosen < {r[0] for r in models.sample_rows(df, 2000).collect()}
+    assert models.sample_rows(df).count() == 10_000
+    assert models.sample_rows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [3, 8])
+def test_models_do_not_depend_on_partitions(spark, features, tmp_path, partitions):
+    def scores(rows):
+        clv, churn = saved(models.train_clv(rows), tmp_path), saved(models.train_churn(rows), tmp_path)
+        scored = models.predictions(features, clv, churn).orderBy("HSHD_NUM").collect()
+        return [(r["clv_score"], r["churn_prob"]) for r in scored]
+
+    for one, other in zip(scores(features), scores(features.repartition(partitions, "total_spend"))):
+        assert one == pytest.approx(other)
 
 
 def test_capped_training(features):

@@ -117,3 +117,16 @@ def test_season_list_is_cut_by_name(make_star):
     assert [r for r in rows if r[0] == "Winter"] == [("Winter", "D5", 6.0), ("Winter", "D4", 5.0)]
     table = {r["DEPARTMENT"]: r for r in dashboard.seasonal_dept_pivot(dashboard.seasonal_commodity(star)).collect()}
     assert (table["D0"]["Winter"], table["D0"]["Fall"], table["D5"]["Winter"]) == (0.0, 1.0, 6.0)
+
+
+def test_grid_of_any_names(spark):
+    cells = [("x", "NO. 1", 1.0), ("x", "Private", 2.0), ("y", "PRIVATE", 3.0), (None, "a`b", 4.0), ("z", None, 5.0)]
+    df = spark.createDataFrame(cells, "INCOME_RANGE string, BRAND_TY string, total_spend double")
+    got = {(r[0], r[1]): r[2] for r in dashboard.brand_income_pivot(df).collect()}
+    assert len(got) == 4 * 4
+    assert {k: v for k, v in got.items() if v} == {(a, b): v for a, b, v in cells if b}
+
+
+def test_pivot_fills_by_place(spark):
+    df = spark.createDataFrame([("x", "a.b", 1.0)], "r string, c string, total_spend double")
+    assert tuples(dashboard.pivot_spend(df, "r", "c", ["a.b", "A.B"])) == [("x", 1.0, 0.0)]
