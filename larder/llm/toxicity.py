@@ -118,7 +118,10 @@ def units_of(words: Words) -> Units:
     last = at == parts[owner] - 1
     table[last, np.minimum(length[last] + 1, width - 1)] = _LAST
     weights = mix(np.arange(1, width + 1, dtype=np.uint64))
-    key = mix((table.astype(np.uint64) * weights[None, :]).sum(axis=1, dtype=np.uint64))
+    key = np.zeros(len(table), np.uint64)
+    for i in range(width):
+        key += table[:, i].astype(np.uint64) * weights[i]
+    key = mix(key)
     order = np.argsort(key, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -128,6 +131,21 @@ def units_of(words: Words) -> Units:
     return Units(table[first], key[first], number, text[owner])
 
 
+def gathered(texts: list[str]) -> Units:
+    """The units of many texts, a chunk of them at a time."""
+    keys, tables, pairs, at = [], [], [], 0
+    for batch in chunks(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])])):
+        part = units_of(words_of(batch.column(0)))
+        pair = np.unique(part.text * len(part.key) + part.unit) if len(part.key) else part.text
+        keys.append(part.key)
+        tables.append(part.table)
+        pairs.append((at + pair // max(1, len(part.key)), part.key[pair % max(1, len(part.key))] if len(part.key) else part.key))
+        at += len(batch)
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    text, held = (np.concatenate(x) for x in zip(*pairs))
+    return Units(np.concatenate(tables)[first], key, np.searchsorted(key, held), text)
+
+
 def triples(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each spacing: the triple numbers at each place (0 where there is none), and its weight."""
     wide = table.astype(np.int32)
@@ -187,7 +205,7 @@ def _over(table: np.ndarray, held: np.ndarray) -> np.ndarray:
 def _kernel(table: np.ndarray, landmarks: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Each word's kernel with each landmark."""
     out = np.zeros((len(table), len(landmarks)))
-    for rows, part in _by_length(table, 1_000):
+    for rows, part in _by_length(table, 500):
         out[rows] = _over(part, held) @ landmarks.T
     return out
 
@@ -243,11 +261,10 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     none = Model(np.zeros(_CLASSES**3, np.float32), 0.0, 0.0, -30.0, 0.0)
     if not len(texts) or labels.min() == labels.max():
         return none
-    units = units_of(words_of(pa.array(texts, pa.string())))
+    units = gathered(texts)
     if not len(units.key):
         return none
-    pair = np.unique(units.text * len(units.key) + units.unit)
-    text, unit = pair // len(units.key), pair % len(units.key)
+    text, unit = units.text, units.unit
     fit = mix(np.arange(len(texts), dtype=np.uint64)) % np.uint64(10) < 7  # the others scale the score
     toxic = labels[text] == 1
     used = fit[text]
