@@ -13,7 +13,7 @@ A null text has size 0; a source without words has target 0. Repeated rows count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.staging import staged
@@ -26,11 +26,14 @@ SHARD_ROWS = 4_000
 _PROBES = 32
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     # A key that is never null, so that the null source joins like any other.
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    return docs.select("doc_id", "source", key.alias("key"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", key.alias("key"), _size().alias("size"))
 
 
 def _weighted(sources: DataFrame) -> DataFrame:
@@ -160,13 +163,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Every document as often as the mix takes it, with the columns of the input.
 
     A document of which the last round takes a part is given whole in that round; that
-    concerns two documents of a shard at most. Rows of one doc_id count alike.
+    concerns two documents of a shard at most. Rows of one doc_id, source and size count alike.
     """
     # Names of their own, as the documents may have any columns.
-    times = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(
+    times = mix(docs).filter("taken > 0").groupBy(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")
+    ).agg(
         F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times")
     )
     times = staged(times, "mix-times").hint("merge")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_mix_id"]))
+    same = docs["doc_id"].eqNullSafe(times["_mix_id"]) & docs["source"].eqNullSafe(times["_mix_source"])
+    sized = docs.withColumn("_mix_words", _size())
+    rows = sized.join(times, same & (F.col("_mix_words") == F.col("_mix_size")))
     copies = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
     return copies.select(*[docs[c] for c in docs.columns])

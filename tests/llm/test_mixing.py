@@ -96,3 +96,10 @@ def test_mixed_documents(documents):
     assert got.columns == df.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert ids.count(1) == 3 and ids.count(2) == 1 and 3 not in ids
+
+
+def test_mixed_documents_without_ids(documents):
+    """Rows without an id are taken by their own source and size."""
+    a, b = prose(10, 1), prose(500, 2)
+    got = [r["text"] for r in mixing.mixed_documents(documents([(None, a, "a"), (None, b, "b")])).collect()]
+    assert got.count(a) == 3 and got.count(b) == 1
