@@ -2,17 +2,23 @@
 
 The rules find emails, IP addresses, card and phone numbers. Their spans are the seeds: the
 words around them are lexical patterns (the two words before; the word before and the word
-after). Identifier-like tokens of the whole corpus are further instances. Patterns and
-instances form a graph that is scored in rounds: a pattern by the share of its instances
+after). Tokens of at least four digits of the whole corpus are further instances. Patterns
+and instances form a graph that is scored in rounds: a pattern by the share of its instances
 that are trusted, an instance by the patterns that hold it. Instances of trusted patterns
 are added to the spans as kind `id`; spans of the rules stay.
 
+Then every token of every text, with or without digits, is looked up in the trusted
+patterns, and these are scored again with all the tokens that stand in them. Tokens trusted
+by that are spans where they stand in such a pattern; they teach no further patterns.
+
 DataFrame functions only. A null text is empty. Rows are judged one by one; equal rows get
 equal spans. Positions are code points from 0, ends exclusive.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,14 @@ KINDS = (*PATTERNS, "id")
 # Identifier-like: letters, digits and joining marks, with at least four digits.
 TOKEN = r"(?<![A-Za-z0-9._/+=-])(?=(?:[A-Za-z._/+=-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9._/+=-]*+"
 WORD = r"[^\x20\x09-\x0D]+"
+# Any token; a piece of a text is a word with the blanks behind it.
+ANY_TOKEN = r"(?<![\p{L}\p{M}\p{N}._/+=@-])[\p{L}\p{M}\p{N}._/+=@-]++"
+PIECE_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+MARKS = "._/+=@-"
+# Pieces of a text that are looked through as one row.
+BLOCK = 256
+# Up to so many trusted patterns are sought in whole texts before these are cut into pieces.
+SOUGHT = 64
 
 ROUNDS = 3
 # A pattern needs this many distinct trusted instances, and this share of its instances.
@@ -117,14 +131,17 @@ def _with_spans(texts: DataFrame) -> DataFrame:
     return df.withColumn("others", F.coalesce(outside, none)).drop(*[f"{k}_{x}" for k in rules for x in ("found", "pieces", "at")])
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[0-9]", "0")
+
+
 def _contexts(text: Column, span: Column) -> Column:
     """The lexical patterns that a span stands in."""
     before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
     after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     # A token cut short by the window is no word; three pieces suffice for two whole ones.
-    left = F.filter(F.split(plain(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    right = F.regexp_extract(plain(after), WORD, 0)
+    left = F.filter(F.split(_plain(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    right = F.regexp_extract(_plain(after), WORD, 0)
     two = F.concat_ws(" ", F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), F.lit(2)))
     one = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit(""))
     known = lambda c, ok: F.when(ok, c)
@@ -159,22 +176,150 @@ def _graph(rows: DataFrame) -> DataFrame:
     return edges.groupBy(F.xxhash64("pattern").alias("pattern"), "instance").agg(F.max("seed").alias("seed"))
 
 
-def trusted_instances(rows: DataFrame) -> DataFrame:
-    """(instance, trust) of instances that no rule found and that trusted patterns hold."""
-    edges = staged(_graph(rows), "pii-graph")
-    trust = edges.filter("seed").select("instance").distinct().withColumn("trust", F.lit(1.0))
+def _weights(edges: DataFrame, trust: DataFrame) -> DataFrame:
+    """(pattern, weight) of the patterns that are trusted."""
+    seen = edges.join(trust, "instance", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
+    return seen.groupBy("pattern").agg(
+        F.avg("trust").alias("weight"), F.sum((F.col("trust") >= INSTANCE_TRUST).cast("int")).alias("support")
+    ).filter((F.col("support") >= MIN_SUPPORT) & (F.col("weight") >= PATTERN_TRUST)).select("pattern", "weight")
+
+
+def _trust(edges: DataFrame) -> DataFrame:
+    """(instance, trust) after all rounds over (pattern, instance, seed)."""
+    seeds = edges.filter("seed").select("instance").distinct().withColumn("trust", F.lit(1.0))
+    trust = seeds
     for _ in range(ROUNDS):
-        seen = edges.join(trust, "instance", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
-        patterns = seen.groupBy("pattern").agg(
-            F.avg("trust").alias("weight"), F.sum((F.col("trust") >= INSTANCE_TRUST).cast("int")).alias("support")
-        ).filter((F.col("support") >= MIN_SUPPORT) & (F.col("weight") >= PATTERN_TRUST))
         missed = F.exp(F.sum(F.log(F.greatest(1 - F.col("weight"), F.lit(1e-6)))))
-        scores = edges.join(patterns, "pattern").groupBy("instance").agg((1 - missed).alias("trust"), F.max("seed").alias("seed"))
-        scores = scores.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("trust")).alias("trust"))
-        seeds = edges.filter("seed").select("instance", F.lit(1.0).alias("trust"))
+        scores = edges.join(_weights(edges, trust), "pattern").groupBy("instance").agg((1 - missed).alias("trust"))
         trust = staged(scores.union(seeds).groupBy("instance").agg(F.max("trust").alias("trust")), "pii-trust")
+    return trust
+
+
+def trusted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(instance) that no rule found and that trusted patterns hold, and the edges of the trusted patterns."""
+    edges = staged(_graph(rows), "pii-graph")
+    trust = _trust(edges)
     seeds = edges.filter("seed").select("instance").distinct()
-    return trust.filter(F.col("trust") >= INSTANCE_TRUST).join(seeds, "instance", "left_anti")
+    known = staged(trust.filter(F.col("trust") >= INSTANCE_TRUST).select("instance"), "pii-known")
+    held = edges.join(_weights(edges, trust).select("pattern"), "pattern", "left_semi")
+    held = held.join(known.withColumn("is_known", F.lit(True)), "instance", "left")
+    held = held.select("pattern", "instance", F.coalesce("is_known", F.lit(False)).alias("seed"))
+    return known.join(seeds, "instance", "left_anti"), staged(held, "pii-held")
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """Every piece of every text with the two before it, the one behind it and its place in the text.
+
+    Texts are cut into blocks first, so that places are added up over a bounded number of pieces.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.split("text", PIECE_START, -1).alias("pieces")
+    )
+
+    def total(pieces: Column) -> Column:
+        return F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
+
+    def places(lengths: Column) -> Column:
+        """The sums before every length."""
+        seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all"))
+        return F.aggregate(lengths, seed, step, lambda s: s["all"])
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK).cast("int"))
+    blocks = texts.withColumn("lengths", F.transform(numbers, lambda b: total(F.slice("pieces", b * BLOCK + 1, F.lit(BLOCK)))))
+    blocks = blocks.withColumn("starts", places(F.col("lengths")))
+    first = F.greatest(F.col("block") * BLOCK - 2, F.lit(0))
+    blocks = blocks.select("doc_id", "text_key", "pieces", F.posexplode("starts").alias("block", "start")).select(
+        "doc_id", "text_key", (F.col("block") * BLOCK - first).alias("lead"), "start",
+        F.slice("pieces", first + 1, F.col("block") * BLOCK - first + BLOCK + 1).alias("pieces"),
+    )
+    blocks = blocks.withColumn("own", F.slice("pieces", F.col("lead") + 1, F.lit(BLOCK)))
+    blocks = blocks.withColumn("starts", places(F.transform("own", F.length)))
+
+    def near(place: Column, i: Column) -> Column:
+        n = F.col("lead") + i + 1
+        piece = lambda at: F.coalesce(F.try_element_at("pieces", F.when(at > 0, at)), F.lit(""))
+        return F.struct(
+            piece(n - 2).alias("left_2"), piece(n - 1).alias("left_1"), F.element_at("pieces", n).alias("own"), piece(n + 1).alias("right"),
+            (F.col("start") + place).alias("place"),
+        )
+
+    return blocks.select("doc_id", "text_key", F.explode(F.transform("starts", near)).alias("p")).select("doc_id", "text_key", "p.*")
+
+
+def _with_patterns(docs: DataFrame, rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The documents, without those in which none of the patterns can stand if these are few."""
+    spans = rows.filter("size(base) + size(others) > 0").select(F.explode(F.concat("base", "others")).alias("s"))
+    texts = spans.select(F.explode("s.patterns").alias("text")).withColumn("pattern", F.xxhash64("text"))
+    few = texts.join(patterns, "pattern", "left_semi").select("text").distinct().limit(SOUGHT + 1).collect()
+    if len(few) > SOUGHT:
+        return docs
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    sought = []
+    for (text,) in few:
+        a, b = (re.sub(r"([^\w])", r"\\\1", w) for w in text[3:].split(" "))
+        sought.append(f"{a}{blank}+{b}" if text.startswith("LL|") else f"{a}{blank}*{word}+{blank}*{b}")
+    return docs.filter(_plain(F.col("text")).rlike("|".join(sought)))
+
+
+def _bare(piece: str) -> Column:
+    return F.regexp_replace(piece, r"[\x20\x09-\x0D]+$", "")
+
+
+def looked_up(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, kind, end) of all further tokens that trusted patterns hold.
+
+    held has the patterns' edges so far.
+    """
+    # Most pieces start with their only token and go by its patterns' hashes; those with a
+    # token behind a mark, or near the end of the window, are looked at whole.
+    patterns = staged(held.select("pattern").distinct(), "pii-patterns")
+    pieces = _pieces(_with_patterns(docs, rows, patterns)).filter(F.col("own").rlike(r"[\p{L}\p{M}\p{N}._/+=@-]"))
+    whole = F.col("own").rlike(r"[^\p{L}\p{M}\p{N}._/+=@\x20\x09-\x0D-][\p{L}\p{M}\p{N}._/+=@-]") | (
+        F.length("left_2") + F.length("left_1") >= CONTEXT
+    ) | (F.length("own") + F.length("right") >= CONTEXT)
+    token = F.rtrim(F.regexp_extract("own", ANY_TOKEN, 0), F.lit(MARKS))
+    behind = F.substring(_bare("own"), F.length(token) + 1, F.length("own"))
+    right = F.when(behind == "", _bare("right")).otherwise(behind)
+    one = _plain(_bare("left_1"))
+    pieces = pieces.withColumns({
+        "whole": whole, "ll": F.xxhash64(F.concat(F.lit("LL|"), _plain(_bare("left_2")), F.lit(" "), one)),
+        "lr": F.xxhash64(F.concat(F.lit("LR|"), one, F.lit(" "), _plain(right))),
+    })
+    for c in ("ll", "lr"):
+        pieces = pieces.join(patterns.select(F.col("pattern").alias(c), F.lit(True).alias(f"in_{c}")), c, "left")
+    pieces = pieces.filter(F.col("whole") | F.col("in_ll") | F.col("in_lr"))
+    before = F.concat("left_2", "left_1")
+    pieces = pieces.withColumns({
+        "local": F.concat(before, "own", "right"), "at": F.length(before), "from": F.col("place") - F.length(before),
+        "found": _matches(F.col("own"), ANY_TOKEN),
+    })
+    spans = pieces.select("*", F.explode(_located(F.col("found"), F.split("own", ANY_TOKEN, -1))).alias("s"))
+    value = F.rtrim(F.col("s.value"), F.lit(MARKS))
+    spans = spans.withColumn("value", value).filter(F.length("value") > 0)
+    place = F.col("at") + F.col("s.start")
+    span = F.struct(place.alias("start"), (place + F.length("value")).alias("end"))
+    start = F.col("from") + place
+    edges = spans.select(
+        "doc_id", "text_key", start.alias("start"), (start + F.length("value")).alias("end"),
+        F.xxhash64("value").alias("instance"), F.explode(_contexts(F.col("local"), span)).alias("pattern"),
+    ).withColumn("pattern", F.xxhash64("pattern"))
+    edges = edges.join(patterns, "pattern", "left_semi").distinct()
+    # Tokens that meet a span already judged, by the rules or as an instance, are no others.
+    judged = rows.filter("size(base) + size(others) > 0").select(
+        F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.concat("base", "others").alias("judged")
+    ).dropDuplicates(["of", "of_key"])
+    edges = edges.join(judged, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
+    meets = F.exists("judged", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    edges = staged(edges.filter(~F.coalesce(meets, F.lit(False))).drop("judged", "of", "of_key"), "pii-looked-up")
+
+    further = edges.select("pattern", "instance", F.lit(False).alias("seed"))
+    graph = held.union(further).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    graph = staged(graph, "pii-all-edges")
+    trust = _trust(graph)
+    sure = trust.filter(F.col("trust") >= INSTANCE_TRUST).select("instance")
+    standing = edges.join(_weights(graph, trust).select("pattern"), "pattern", "left_semi").join(sure, "instance", "left_semi")
+    return standing.select("doc_id", "text_key", "start", F.lit(len(PATTERNS)).alias("kind"), "end")
 
 
 def _listed(spans: Column) -> Column:
@@ -185,12 +330,16 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def _all_spans(rows: DataFrame) -> DataFrame:
+def _all_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds all: the rules' and the found spans, in order. Equal rows stay as many as they are."""
+    instances, held = trusted(rows)
     tokens = rows.filter("size(others) > 0").select("doc_id", "text_key", F.explode("others").alias("s"))
-    taken = tokens.join(trusted_instances(rows).select(F.col("instance").alias("known")), F.col("s.instance") == F.col("known"))
+    taken = tokens.join(instances.withColumnRenamed("instance", "known"), F.col("s.instance") == F.col("known"))
+    taken = taken.select("doc_id", "text_key", "s.start", "s.kind", "s.end")
+    if not held.isEmpty():
+        taken = taken.union(looked_up(docs, rows, held))
     found = taken.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(
-        F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))).alias("found")
+        F.collect_set(F.struct("start", "kind", "end")).alias("found")
     )
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
@@ -202,7 +351,7 @@ def _all_spans(rows: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts per rule, base_sha256, spans, n_found: a row per input row."""
-    rows = _all_spans(staged(_scored(docs), "pii-spans"))
+    rows = _all_spans(docs, staged(_scored(docs), "pii-spans"))
 
     def count(number: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
@@ -233,7 +382,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def masked_documents(docs: DataFrame) -> DataFrame:
     """All documents, personal data masked, with the columns of the input."""
-    spans = _all_spans(staged(_scored(docs), "pii-spans")).filter("size(all) > 0")
+    spans = _all_spans(docs, staged(_scored(docs), "pii-spans")).filter("size(all) > 0")
     # Names of their own, as the documents may have any columns.
     spans = spans.groupBy(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key")).agg(F.max("all").alias("_pii_spans"))
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))

@@ -79,6 +79,35 @@ def test_context_discovers_unseen_identifiers(documents):
         assert rule_part(got[d]) == plain(text)
 
 
+def test_context_discovers_identifiers_of_few_digits(documents):
+    """Every token in a trusted pattern is looked up, also far into a text, behind marks and without a null id."""
+    texts = {
+        300: "reach me via jane_doe today", 301: "reach me via AB-12-C today", None: f"reach  me\tvia\nJosé.", 302: "jane_doe went home",
+        303: f" {prose(3_000, 3)}  reach me via mary_k today {prose(700, 4)}", 304: "reach me via (bob_x) today",
+    }
+    rows = [(i, f"reach me via user{i}@mail.example.com today") for i in range(60)] + list(texts.items())
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(rows)).collect()}
+    def at(d, token):
+        start = texts[d].index(token)
+        return f"id:{start}:{start + len(token)}"
+
+    assert got[300] == at(300, "jane_doe") and got[301] == at(301, "AB-12-C") and got[None] == at(None, "José")
+    assert got[303] == at(303, "mary_k")
+    assert got[302] == got[304] == ""
+    assert all(got[i] and "id:" not in got[i] for i in range(60))
+    masked = {r["doc_id"]: r["text"] for r in pii.masked_documents(documents(rows)).collect()}
+    assert masked[301] == "reach me via [ID] today" and masked[302] == texts[302]
+
+
+def test_words_in_a_pattern_take_its_trust(documents):
+    """A pattern that mostly holds common words finds nothing, however many seeds it has."""
+    rows = [(i, f"reach me via user{i}@mail.example.com today") for i in range(20)]
+    rows += [(100 + i, f"reach me via {w} today") for i, w in enumerate(dict.fromkeys(prose(200, 5).split()))]
+    assert len(rows) > 50
+    got = pii.personal_data(documents(rows)).collect()
+    assert all(r["n_found"] == 0 for r in got)
+
+
 def test_too_few_seeds_teach_nothing(documents):
     got = pii.personal_data(documents(in_context(pii.MIN_SUPPORT - 1))).collect()
     assert all(r["n_found"] == 0 for r in got)
