@@ -158,7 +158,7 @@ def train(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] = MONOTONE) ->
     values below it stay on their side of the middle, so the whole tree is monotonic.
     """
     if len(y) == 0 or y.min() == y.max():
-        return constant(30.0 if len(y) == 0 or y.min() == 1 else -30.0)
+        return constant(30.0)
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
     binned = np.column_stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)])
     bias = float(np.log(y.mean() / (1 - y.mean())))

@@ -82,3 +82,10 @@ def test_flat_arrays_equal_walking_the_trees():
                 node = f.left[node] if row[f.feature[node]] <= f.threshold[node] else f.right[node]
             total += f.value[node]
         assert total == pytest.approx(f.margin(row[None, :])[0])
+
+
+@pytest.mark.parametrize("label", [0.0, 1.0])
+def test_one_kind_of_label_keeps_everything(label):
+    """Labels of one kind alone teach nothing, so the model rejects nothing."""
+    x = np.random.default_rng(6).normal(size=(50, 9))
+    assert (quality.train(x, np.full(50, label)).probability(x) >= quality.KEEP_FROM).all()
