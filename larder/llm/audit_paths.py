@@ -11,6 +11,8 @@ more edits behind it would cost more, so the lesser prefix stays the lesser whol
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 # A sign is KIND * 4 + role: the role's initial, then what is wrong with the row.
 ROLES = "?sua"
 FINE, TRUNCATED, BLANK, DUPLICATE = range(4)
@@ -25,8 +27,8 @@ WANTED = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 FINAL = (START, ASSISTANT)
 
 _BASE, _MODULUS = 1_000_003, (1 << 61) - 1
-# Edits between two searches for what all audits share.
-SETTLE = 2_048
+# Nodes at which what all audits share is first looked for.
+SETTLE = 32_768
 
 
 class Audits:
@@ -127,60 +129,99 @@ def _inserted(audits: Audits, best: dict[int, tuple[int, int]]) -> dict[int, tup
     return best
 
 
-def cheapest(signs: list[int], modulus: int = _MODULUS) -> tuple[int, str]:
-    """The least cost and, of the audits that have it, the first one in ASCII order."""
-    audits, done = Audits(modulus), []
-    best = _inserted(audits, {START: (0, 0)})
-    for sign in signs:
+def _worthwhile(best: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Places from which a cheapest audit may still come.
+
+    After an assistant all goes on as from the start or after system, but that the start can
+    keep one system row, which costs at most a deletion.
+    """
+    cost = best[ASSISTANT][0]
+    slack = {START: COSTS[DELETE], SYSTEM: 0}
+    return {place: held for place, held in best.items() if held[0] <= cost + slack.get(place, held[0])}
+
+
+class Cheapest:
+    """The cheapest audit of rows that are given one after another as signs."""
+
+    def __init__(self, modulus: int = _MODULUS, settle: int = SETTLE) -> None:
+        self.modulus, self.settle, self.limit = modulus, settle, settle
+        self.audits, self.done = Audits(modulus), []
+        self.best = _inserted(self.audits, {START: (0, 0)})
+
+    def push(self, sign: int) -> None:
         kind, role = divmod(sign, 4)
         extra = LEFT_TRUNCATED if kind == TRUNCATED else 0
         after: dict[int, tuple[int, int]] = {}
-        for place, (cost, node) in best.items():
-            _better(audits, after, place, cost + COSTS[DELETE], node, DELETE)
+        for place, (cost, node) in self.best.items():
+            _better(self.audits, after, place, cost + COSTS[DELETE], node, DELETE)
             if kind in (BLANK, DUPLICATE):
                 continue
             kept = KEPT.get((place, ROLES[role]))
             if kept is not None:
-                _better(audits, after, kept, cost + COSTS[KEEP] + extra, node, KEEP)
-            _better(audits, after, WANTED[place], cost + COSTS[REROLE] + extra, node, REROLE)
-        best = _inserted(audits, after)
-        if len(audits.edit) > 16 * SETTLE:
-            # What all share is settled; only the rest is kept as nodes.
-            root = audits.shared([node for _, node in best.values()])
-            done.append(audits.text(root))
-            fresh = Audits(modulus)
-            moved = {root: 0}
-
-            def move(node: int) -> int:
-                path = []
-                while node not in moved:
-                    path.append(node)
-                    node = audits.up[node][0]
-                at = moved[node]
-                for old in reversed(path):
-                    at = moved[old] = fresh.add(at, audits.edit[old])
-                return at
-
-            best = {place: (cost, move(node)) for place, (cost, node) in best.items()}
-            audits = fresh
-    cost, node = best.get(START, (None, 0))
-    if ASSISTANT in best:
-        other = best[ASSISTANT]
-        if cost is None or other[0] < cost or other[0] == cost and audits.less(other[1], node):
-            cost, node = other
-    return cost, "".join(done) + audits.text(node)
-
-
-def roles(audit: str, initials: str) -> list[str | None]:
-    """The role each edit gives: None for deleted and kept rows, else user or assistant."""
-    out: list[str | None] = []
-    place, row = START, 0
-    for edit in audit:
-        given = "user" if WANTED[place] == USER else "assistant"
+                _better(self.audits, after, kept, cost + COSTS[KEEP] + extra, node, KEEP)
+            _better(self.audits, after, WANTED[place], cost + COSTS[REROLE] + extra, node, REROLE)
+        self.best = _worthwhile(_inserted(self.audits, after))
+        if len(self.audits.edit) > self.limit:
+            self._settle()
+
+    def _settle(self) -> None:
+        """What all audits share becomes text; of the rest only nodes that they stand on are kept."""
+        old = self.audits
+        root = old.shared([node for _, node in self.best.values()])
+        self.done.append(old.text(root))
+        fresh, moved = Audits(self.modulus), {root: 0}
+        best = {}
+        for place, (cost, node) in self.best.items():
+            path = []
+            while node not in moved:
+                path.append(node)
+                node = old.up[node][0]
+            at = moved[node]
+            for n in reversed(path):
+                at = moved[n] = fresh.add(at, old.edit[n])
+            best[place] = (cost, at)
+        self.audits, self.best = fresh, best
+        self.limit = max(self.settle, 2 * len(fresh.edit))
+
+    def result(self) -> tuple[int, str]:
+        """The least cost and, of the audits that have it, the first one in ASCII order."""
+        ends = [self.best[place] for place in FINAL if place in self.best]
+        cost, node = ends[0]
+        for other in ends[1:]:
+            if other[0] < cost or other[0] == cost and self.audits.less(other[1], node):
+                cost, node = other
+        return cost, "".join(self.done) + self.audits.text(node)
+
+
+def cheapest(signs: Iterable[int], modulus: int = _MODULUS, settle: int = SETTLE) -> tuple[int, str]:
+    rows = Cheapest(modulus, settle)
+    for sign in signs:
+        rows.push(sign)
+    return rows.result()
+
+
+class Rewriter:
+    """An audit applied to rows that are given one after another."""
+
+    def __init__(self, audit: str) -> None:
+        self.audit, self.at, self.place = audit, 0, START
+
+    def _wanted(self) -> str:
+        self.place = WANTED[self.place]
+        return "user" if self.place == USER else "assistant"
+
+    def inserted(self) -> Iterator[tuple[str, str]]:
+        """(role, text) of the rows put in before the next one."""
+        while self.audit[self.at : self.at + 1] == INSERT:
+            self.at += 1
+            yield self._wanted(), ""
+
+    def row(self, role: str, text: str) -> Iterator[tuple[str, str]]:
+        yield from self.inserted()
+        edit = self.audit[self.at]
+        self.at += 1
         if edit == KEEP:
-            place = KEPT[place, initials[row]]
-        elif edit != DELETE:
-            place = WANTED[place]
-        out.append(given if edit in (REROLE, INSERT) else None)
-        row += edit != INSERT
-    return out
+            self.place = KEPT[self.place, role[:1]]
+            yield role, text
+        elif edit == REROLE:
+            yield self._wanted(), text

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, near_dedup, neighbours, perspectives, pii, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
+from larder.llm import boundary_bpe, conversation_repair, mixing, near_dedup, neighbours, periodic_runs, perspectives
+from larder.llm import pii, quality, sentencepiece_codec, substring_dedup, token_files, toxicity
 from larder.llm.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +55,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_rules, op2_nearest_neighbours, op3_perspectives, op4_sentencepiece, op5_token_files,
         op6_toxicity, op7_substring_dedup, op8_near_dedup, op9_mix_sources, op10_personal_data,
+        op11_periodic_runs, op12_boundary_bpe, op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
 

@@ -34,5 +34,5 @@ def test_stages(spark):
 def test_registered(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0
