@@ -7,9 +7,11 @@ and instances form a graph that is scored in rounds: a pattern by the share of i
 that are trusted, an instance by the patterns that hold it. Instances of trusted patterns
 are added to the spans as kind `id`; spans of the rules stay.
 
-Then every token of every text, with or without digits, is looked up in the trusted
-patterns, and these are scored again with all the tokens that stand in them. Tokens trusted
-by that are spans where they stand in such a pattern; they teach no further patterns.
+Then the trusted patterns are judged by every token of every text, with or without digits:
+those in which less than half of the different tokens are trusted hold ordinary words and go.
+All tokens in the others are looked up, and these patterns are scored again with them.
+Tokens trusted by that are spans where they stand in such a pattern; they teach no further
+patterns.
 
 DataFrame functions only. A null text is empty. Rows are judged one by one; equal rows get
 equal spans. Positions are code points from 0, ends exclusive.
@@ -17,8 +19,6 @@ equal spans. Positions are code points from 0, ends exclusive.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +42,10 @@ PIECE_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 MARKS = "._/+=@-"
 # Pieces of a text that are looked through as one row.
 BLOCK = 256
-# Up to so many trusted patterns are sought in whole texts before these are cut into pieces.
-SOUGHT = 64
+# A token behind a mark of the same piece.
+INNER = r"[^\p{L}\p{M}\p{N}._/+=@\x20\x09-\x0D-][\p{L}\p{M}\p{N}._/+=@-]"
+# Places of the filter of sought words, a power of two: 32 KB for any number of patterns.
+BITS = 1 << 18
 
 ROUNDS = 3
 # A pattern needs this many distinct trusted instances, and this share of its instances.
@@ -51,6 +53,8 @@ MIN_SUPPORT = 5
 PATTERN_TRUST = 0.8
 # An instance is taken up from this chance that at least one of its patterns is right.
 INSTANCE_TRUST = 0.9
+# A trusted pattern is looked up if this share of all different tokens in it is trusted so far.
+HALF_KNOWN = 0.5
 # Code points looked at on each side of a span for its neighbouring words.
 CONTEXT = 80
 
@@ -207,17 +211,30 @@ def trusted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known.join(seeds, "instance", "left_anti"), staged(held, "pii-held")
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
-    """Every piece of every text with the two before it, the one behind it and its place in the text.
+def _marks(numbers: DataFrame) -> Column:
+    """Which of BITS places the numbers fall on, as an array of 64-bit words; its size does not depend on them."""
+    words = [0] * (BITS // 64)
+    for (n,) in numbers.toDF("n").select(F.col("n").bitwiseAND(BITS - 1)).distinct().collect():
+        words[n >> 6] |= 1 << (n & 63)
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
+
+
+def _marked(marks: Column, number: Column) -> Column:
+    place = F.shiftright(number.bitwiseAND(BITS - 1), 6).cast("int")
+    return F.getbit(F.element_at(marks, place + 1), number.bitwiseAND(63).cast("int")) == 1
 
-    Texts are cut into blocks first, so that places are added up over a bounded number of pieces.
-    """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.split("text", PIECE_START, -1).alias("pieces")
-    )
 
-    def total(pieces: Column) -> Column:
-        return F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
+def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pieces of all texts where one of the patterns may stand, each with the two before it, the one behind it and its place.
+
+    Pieces are sifted inside the arrays by the words before them; only those that pass
+    become rows. Texts are cut into blocks, so that places are added up over a bounded number of pieces.
+    """
+    words = texts.select(F.col("text").startswith("LL|").alias("ll"), F.split(F.substring("text", 4, 1 << 30), " ").alias("w"))
+    pair = lambda a, b: F.xxhash64(a, b)
+    two = _marks(words.filter("ll").select(pair(F.xxhash64(F.col("w")[0]), F.xxhash64(F.col("w")[1]))))
+    one = _marks(words.filter("NOT ll").select(F.xxhash64(F.col("w")[0])))
 
     def places(lengths: Column) -> Column:
         """The sums before every length."""
@@ -225,86 +242,100 @@ def _pieces(docs: DataFrame) -> DataFrame:
         step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all"))
         return F.aggregate(lengths, seed, step, lambda s: s["all"])
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK).cast("int"))
-    blocks = texts.withColumn("lengths", F.transform(numbers, lambda b: total(F.slice("pieces", b * BLOCK + 1, F.lit(BLOCK)))))
-    blocks = blocks.withColumn("starts", places(F.col("lengths")))
-    first = F.greatest(F.col("block") * BLOCK - 2, F.lit(0))
-    blocks = blocks.select("doc_id", "text_key", "pieces", F.posexplode("starts").alias("block", "start")).select(
-        "doc_id", "text_key", (F.col("block") * BLOCK - first).alias("lead"), "start",
-        F.slice("pieces", first + 1, F.col("block") * BLOCK - first + BLOCK + 1).alias("pieces"),
+    def at(array: str, n: Column, other: str | int | bool) -> Column:
+        return F.coalesce(F.try_element_at(F.col(array), F.when(n > 0, n)), F.lit(other))
+
+    text = F.coalesce("text", F.lit(""))
+    split = docs.select(
+        "doc_id", F.xxhash64(text).alias("text_key"), F.split(text, PIECE_START, -1).alias("pieces"),
+        F.transform(F.split(_plain(text), r"[\x20\x09-\x0D]+", -1), lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    blocks = blocks.withColumn("own", F.slice("pieces", F.col("lead") + 1, F.lit(BLOCK)))
-    blocks = blocks.withColumn("starts", places(F.transform("own", F.length)))
+    split = split.select(
+        "doc_id", "text_key", "pieces",
+        # May a token stand behind this word, or in this piece behind a mark or near a long word?
+        F.transform("hashes", lambda h, i: _marked(one, h) | _marked(two, pair(at("hashes", i, 0), h))).alias("leads"),
+        F.transform("pieces", lambda p: F.length(p) >= CONTEXT // 2).alias("long"),
+        F.transform("pieces", lambda p: p.rlike(INNER)).alias("inner"),
+    )
+    split = split.withColumn("any_long", F.array_contains("long", True))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK).cast("int"))
+
+    def block(b: Column) -> Column:
+        first = F.greatest(b * BLOCK - 2, F.lit(0))
+        around = b * BLOCK - first + BLOCK + 1
+        parts = [F.slice(c, first + 1, around).alias(c) for c in ("pieces", "leads", "long", "inner")]
+        length = F.length(F.array_join(F.slice("pieces", b * BLOCK + 1, F.lit(BLOCK)), ""))
+        return F.struct((b * BLOCK - first).alias("lead"), *parts, length.alias("length"))
+
+    blocks = split.select("doc_id", "text_key", "any_long", F.transform(numbers, block).alias("blocks"))
+    zipped = F.arrays_zip("blocks", places(F.col("blocks.length")).alias("starts"))
+    blocks = blocks.select("doc_id", "text_key", "any_long", F.explode(zipped).alias("z"))
+    blocks = blocks.select("doc_id", "text_key", "any_long", "z.blocks.*", F.col("z.starts").alias("start"))
+    last = F.least(F.size("pieces") - F.col("lead"), F.lit(BLOCK))
 
-    def near(place: Column, i: Column) -> Column:
+    def may_stand(i: Column) -> Column:
+        n = F.col("lead") + i + 1
+        near_long = at("long", n - 2, False) | at("long", n - 1, False) | at("long", n, False) | at("long", n + 1, False)
+        return at("leads", n - 1, False) | F.element_at("inner", n) | (F.col("any_long") & near_long)
+
+    def near(i: Column) -> Column:
         n = F.col("lead") + i + 1
-        piece = lambda at: F.coalesce(F.try_element_at("pieces", F.when(at > 0, at)), F.lit(""))
         return F.struct(
-            piece(n - 2).alias("left_2"), piece(n - 1).alias("left_1"), F.element_at("pieces", n).alias("own"), piece(n + 1).alias("right"),
-            (F.col("start") + place).alias("place"),
+            F.concat(at("pieces", n - 2, ""), at("pieces", n - 1, "")).alias("before"), F.element_at("pieces", n).alias("own"),
+            at("pieces", n + 1, "").alias("right"),
+            (F.col("start") + F.length(F.array_join(F.slice("pieces", F.col("lead") + 1, i), ""))).alias("place"),
         )
 
-    return blocks.select("doc_id", "text_key", F.explode(F.transform("starts", near)).alias("p")).select("doc_id", "text_key", "p.*")
+    hits = F.filter(F.sequence(F.lit(0), last - 1), may_stand)
+    return blocks.select("doc_id", "text_key", F.explode(F.transform(hits, near)).alias("p")).select("doc_id", "text_key", "p.*")
 
 
-def _with_patterns(docs: DataFrame, rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The documents, without those in which none of the patterns can stand if these are few."""
+def _standing(docs: DataFrame, rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, instance, pattern) of all tokens of all texts that stand in one of the patterns."""
     spans = rows.filter("size(base) + size(others) > 0").select(F.explode(F.concat("base", "others")).alias("s"))
     texts = spans.select(F.explode("s.patterns").alias("text")).withColumn("pattern", F.xxhash64("text"))
-    few = texts.join(patterns, "pattern", "left_semi").select("text").distinct().limit(SOUGHT + 1).collect()
-    if len(few) > SOUGHT:
-        return docs
-    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-    sought = []
-    for (text,) in few:
-        a, b = (re.sub(r"([^\w])", r"\\\1", w) for w in text[3:].split(" "))
-        sought.append(f"{a}{blank}+{b}" if text.startswith("LL|") else f"{a}{blank}*{word}+{blank}*{b}")
-    return docs.filter(_plain(F.col("text")).rlike("|".join(sought)))
-
-
-def _bare(piece: str) -> Column:
-    return F.regexp_replace(piece, r"[\x20\x09-\x0D]+$", "")
-
-
-def looked_up(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, kind, end) of all further tokens that trusted patterns hold.
-
-    held has the patterns' edges so far.
-    """
-    # Most pieces start with their only token and go by its patterns' hashes; those with a
-    # token behind a mark, or near the end of the window, are looked at whole.
-    patterns = staged(held.select("pattern").distinct(), "pii-patterns")
-    pieces = _pieces(_with_patterns(docs, rows, patterns)).filter(F.col("own").rlike(r"[\p{L}\p{M}\p{N}._/+=@-]"))
-    whole = F.col("own").rlike(r"[^\p{L}\p{M}\p{N}._/+=@\x20\x09-\x0D-][\p{L}\p{M}\p{N}._/+=@-]") | (
-        F.length("left_2") + F.length("left_1") >= CONTEXT
-    ) | (F.length("own") + F.length("right") >= CONTEXT)
-    token = F.rtrim(F.regexp_extract("own", ANY_TOKEN, 0), F.lit(MARKS))
-    behind = F.substring(_bare("own"), F.length(token) + 1, F.length("own"))
-    right = F.when(behind == "", _bare("right")).otherwise(behind)
-    one = _plain(_bare("left_1"))
-    pieces = pieces.withColumns({
-        "whole": whole, "ll": F.xxhash64(F.concat(F.lit("LL|"), _plain(_bare("left_2")), F.lit(" "), one)),
-        "lr": F.xxhash64(F.concat(F.lit("LR|"), one, F.lit(" "), _plain(right))),
-    })
-    for c in ("ll", "lr"):
-        pieces = pieces.join(patterns.select(F.col("pattern").alias(c), F.lit(True).alias(f"in_{c}")), c, "left")
-    pieces = pieces.filter(F.col("whole") | F.col("in_ll") | F.col("in_lr"))
-    before = F.concat("left_2", "left_1")
-    pieces = pieces.withColumns({
-        "local": F.concat(before, "own", "right"), "at": F.length(before), "from": F.col("place") - F.length(before),
+    texts = staged(texts.join(patterns, "pattern", "left_semi").select("text").distinct(), "pii-contexts")
+    pieces = _pieces(docs, texts).withColumns({
+        "local": F.concat("before", "own", "right"), "at": F.length("before"), "from": F.col("place") - F.length("before"),
         "found": _matches(F.col("own"), ANY_TOKEN),
     })
-    spans = pieces.select("*", F.explode(_located(F.col("found"), F.split("own", ANY_TOKEN, -1))).alias("s"))
+    tokens = pieces.select("*", F.explode(_located(F.col("found"), F.split("own", ANY_TOKEN, -1))).alias("s"))
     value = F.rtrim(F.col("s.value"), F.lit(MARKS))
-    spans = spans.withColumn("value", value).filter(F.length("value") > 0)
+    tokens = tokens.withColumn("value", value).filter(F.length("value") > 0)
     place = F.col("at") + F.col("s.start")
     span = F.struct(place.alias("start"), (place + F.length("value")).alias("end"))
     start = F.col("from") + place
-    edges = spans.select(
+    edges = tokens.select(
         "doc_id", "text_key", start.alias("start"), (start + F.length("value")).alias("end"),
         F.xxhash64("value").alias("instance"), F.explode(_contexts(F.col("local"), span)).alias("pattern"),
     ).withColumn("pattern", F.xxhash64("pattern"))
-    edges = edges.join(patterns, "pattern", "left_semi").distinct()
+    return edges.join(patterns, "pattern", "left_semi")
+
+
+def _judged(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(pattern): those of the patterns in which at least HALF_KNOWN of all the different tokens are trusted.
+
+    Every token of every text counts, with or without digits; only (pattern, token) pairs of
+    hashes are shuffled, each once a task.
+    """
+    patterns = held.select("pattern").distinct()
+    pairs = _standing(docs, rows, patterns).select("pattern", "instance", F.lit(False).alias("known"))
+    pairs = pairs.union(held.select("pattern", "instance", F.col("seed").alias("known")))
+    each = pairs.groupBy("pattern", "instance").agg(F.max("known").alias("known"))
+    shares = each.groupBy("pattern").agg(F.avg(F.col("known").cast("int")).alias("share"))
+    return staged(shares.filter(F.col("share") >= HALF_KNOWN).select("pattern"), "pii-judged")
+
+
+def looked_up(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame | None:
+    """(doc_id, text_key, start, kind, end) of all further tokens that trusted patterns hold; None without such patterns.
+
+    held has the patterns' edges so far.
+    """
+    patterns = _judged(docs, rows, held)
+    if patterns.isEmpty():
+        return None
+    held = held.join(patterns, "pattern", "left_semi")
+    edges = _standing(docs, rows, patterns).distinct()
     # Tokens that meet a span already judged, by the rules or as an instance, are no others.
     judged = rows.filter("size(base) + size(others) > 0").select(
         F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.concat("base", "others").alias("judged")
@@ -336,8 +367,9 @@ def _all_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     tokens = rows.filter("size(others) > 0").select("doc_id", "text_key", F.explode("others").alias("s"))
     taken = tokens.join(instances.withColumnRenamed("instance", "known"), F.col("s.instance") == F.col("known"))
     taken = taken.select("doc_id", "text_key", "s.start", "s.kind", "s.end")
-    if not held.isEmpty():
-        taken = taken.union(looked_up(docs, rows, held))
+    further = None if held.isEmpty() else looked_up(docs, rows, held)
+    if further is not None:
+        taken = taken.union(further)
     found = taken.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(
         F.collect_set(F.struct("start", "kind", "end")).alias("found")
     )
