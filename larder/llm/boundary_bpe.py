@@ -33,6 +33,11 @@ from larder.llm.words import Words, chunks, words_of
 # Words and fragments that a worker remembers, and the bytes of the longest of them.
 REMEMBERED = 400_000
 REMEMBERED_BYTES = 200
+# Words that are normalised and pre-tokenised in one call.
+TOGETHER = 2_000
+# Fragments up to this length look for the next merge in a list, longer ones in an agenda.
+SHORT = 32
+_NO_MERGE = 1 << 62
 
 _workers: dict[str, BoundaryBpe] = {}
 
@@ -73,6 +78,9 @@ class BoundaryBpe:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # The same as one number, which orders merges and ends in the id they give.
+        self.bits = len(vocab).bit_length()
+        self.codes = {pair: rank << self.bits | new for pair, (rank, new) in self.merges.items()}
         byte_of, tokens = _spelled(vocab, self.suffix)
         self.byte_of = byte_of
         self.joined = np.zeros(1 << 16, bool)
@@ -84,14 +92,25 @@ class BoundaryBpe:
         size = max(names) + 1
         self.names, self.names_at = _table([names.get(i, "").encode() + b" " for i in range(size)])
         self.numbers, self.numbers_at = _table([b"%d " % i for i in range(size)])
+        char_of = {b: c for c, b in byte_of.items()}
+        self.apart = {char_of[i >> 8] + char_of[i & 255] for i in np.flatnonzero(~self.joined).tolist()}
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[bytes, list[int]] = {}
+        self.tokens: dict[str, list[int]] = {}
         self.fragments: dict[str, list[int]] = {}
 
     def fragments_of(self, token: str) -> list[str]:
         """A pre-token (a character per byte) cut at the byte pairs that no token holds."""
+        if len(token) <= REMEMBERED_BYTES:
+            parts, at, apart = [], 0, self.apart
+            for i in range(1, len(token)):
+                if token[i - 1 : i + 1] in apart:
+                    parts.append(token[at:i])
+                    at = i
+            parts.append(token[at:])
+            return parts
         data = np.fromiter((self.byte_of[c] for c in token), np.int64, len(token))
         cuts = np.flatnonzero(~self.joined[data[:-1] << 8 | data[1:]]) + 1
         edges = [0, *cuts.tolist(), len(token)]
@@ -100,8 +119,8 @@ class BoundaryBpe:
     def merge(self, symbols: list[int]) -> list[int]:
         """The merge of lowest rank first, the leftmost of equal ones."""
         n = len(symbols)
-        if n < 2:
-            return symbols
+        if n <= SHORT:
+            return self._merge_short(symbols)
         symbol, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         get = self.merges.get
         agenda = []
@@ -130,6 +149,23 @@ class BoundaryBpe:
                     heapq.heappush(agenda, (found[0], h, symbol[h], symbol[i]))
         return [s for s in symbol if s >= 0]
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        get, mask = self.codes.get, (1 << self.bits) - 1
+        symbols = list(symbols)
+        codes = [get(pair, _NO_MERGE) for pair in zip(symbols, symbols[1:])]
+        while codes:
+            least = min(codes)
+            if least == _NO_MERGE:
+                break
+            i = codes.index(least)
+            symbols[i : i + 2] = [least & mask]
+            del codes[i]
+            if i:
+                codes[i - 1] = get((symbols[i - 1], symbols[i]), _NO_MERGE)
+            if i < len(codes):
+                codes[i] = get((symbols[i], symbols[i + 1]), _NO_MERGE)
+        return symbols
+
     def _fragment(self, text: str, last: bool) -> list[int]:
         key = text + self.suffix if last else text
         ids = self.fragments.get(key)
@@ -142,15 +178,36 @@ class BoundaryBpe:
                 self.fragments[key] = ids
         return ids
 
-    def _plain(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for token, _ in self.pre_tokenize(self.normalize(text)):
+    def _token(self, token: str) -> list[int]:
+        """Ids of a pre-token."""
+        ids = self.tokens.get(token)
+        if ids is None:
             parts = self.fragments_of(token)
-            for part in parts[:-1]:
-                ids += self._fragment(part, False)
-            ids += self._fragment(parts[-1], True)
+            ids = [i for part in parts[:-1] for i in self._fragment(part, False)] + self._fragment(parts[-1], True)
+            if len(token) <= REMEMBERED_BYTES:
+                if len(self.tokens) >= REMEMBERED:
+                    self.tokens.clear()
+                self.tokens[token] = ids
         return ids
 
+    def _plain(self, text: str) -> list[int]:
+        return [i for token, _ in self.pre_tokenize(self.normalize(text)) for i in self._token(token)]
+
+    def _plain_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words without any white space, normalised and pre-tokenised with a blank between them."""
+        text = self.normalize(" ".join(words))
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")]).tolist()
+        if len(ends) != len(words):
+            return [self._plain(w) for w in words]
+        out: list[list[int]] = [[] for _ in words]
+        at, end, ids = 0, ends[0], out[0]
+        for token, (start, _) in self.pre_tokenize(text):
+            while start >= end:
+                at += 1
+                end, ids = ends[at], out[at]
+            ids += self._token(token)
+        return out
+
     def word(self, data: bytes) -> list[int]:
         """Ids of a text without white space of one byte."""
         text = data.decode("utf-8", "replace")
@@ -169,14 +226,18 @@ class BoundaryBpe:
         distinct, number = distinct_words(words)
         if len(self.words) + len(distinct) > REMEMBERED:
             self._forget()
-        lists = []
-        for data in distinct:
-            ids = self.words.get(data)
-            if ids is None:
-                ids = self.word(data)
-                if len(data) <= REMEMBERED_BYTES:
-                    self.words[data] = ids
-            lists.append(ids)
+        lists = [self.words.get(data) for data in distinct]
+        together: list[tuple[int, str]] = []
+        for i in [i for i, ids in enumerate(lists) if ids is None]:
+            text = distinct[i].decode("utf-8", "replace")
+            # Wider white space, special tokens and long words go by themselves.
+            if len(text) > REMEMBERED_BYTES or "<" in text or len(text.split()) != 1:
+                lists[i] = self.word(distinct[i])
+            else:
+                together.append((i, text))
+        for part in (together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)):
+            for (i, _), ids in zip(part, self._plain_words([text for _, text in part])):
+                lists[i] = self.words[distinct[i]] = ids
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
         first = np.cumsum(lengths) - lengths
