@@ -9,7 +9,8 @@ are added to the spans as kind `id`; spans of the rules stay.
 
 Then the trusted patterns are judged by every token of every text, with or without digits:
 those in which less than half of the different tokens are trusted hold ordinary words and go.
-All tokens in the others are looked up, and these patterns are scored again with them.
+Most of them show that on a small part of the texts, and what fails there fails on all. All
+tokens in the others are looked up, and these patterns are scored again with them.
 Tokens trusted by that are spans where they stand in such a pattern; they teach no further
 patterns.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.staging import staged
+from larder.llm.staging import staged, unused_names
 
 # The rules. Starts are tried only where a match can begin and repeats give
 # nothing back, which changes no match and keeps long runs of one character linear.
@@ -55,6 +56,8 @@ PATTERN_TRUST = 0.8
 INSTANCE_TRUST = 0.9
 # A trusted pattern is looked up if this share of all different tokens in it is trusted so far.
 HALF_KNOWN = 0.5
+# Patterns are sifted on one in so many texts, in this order, before all texts are looked through.
+SIFTING = (64, 8)
 # Code points looked at on each side of a span for its neighbouring words.
 CONTEXT = 80
 
@@ -290,11 +293,15 @@ def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "text_key", F.explode(F.transform(hits, near)).alias("p")).select("doc_id", "text_key", "p.*")
 
 
-def _standing(docs: DataFrame, rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, instance, pattern) of all tokens of all texts that stand in one of the patterns."""
+def _pattern_texts(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(pattern, text) of the patterns whose edges are held."""
     spans = rows.filter("size(base) + size(others) > 0").select(F.explode(F.concat("base", "others")).alias("s"))
     texts = spans.select(F.explode("s.patterns").alias("text")).withColumn("pattern", F.xxhash64("text"))
-    texts = staged(texts.join(patterns, "pattern", "left_semi").select("text").distinct(), "pii-contexts")
+    return staged(texts.join(held.select("pattern"), "pattern", "left_semi").distinct(), "pii-contexts")
+
+
+def _standing(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, instance, pattern) of all tokens of the documents that stand in one of the patterns."""
     pieces = _pieces(docs, texts).withColumns({
         "local": F.concat("before", "own", "right"), "at": F.length("before"), "from": F.col("place") - F.length("before"),
         "found": _matches(F.col("own"), ANY_TOKEN),
@@ -309,21 +316,39 @@ def _standing(docs: DataFrame, rows: DataFrame, patterns: DataFrame) -> DataFram
         "doc_id", "text_key", start.alias("start"), (start + F.length("value")).alias("end"),
         F.xxhash64("value").alias("instance"), F.explode(_contexts(F.col("local"), span)).alias("pattern"),
     ).withColumn("pattern", F.xxhash64("pattern"))
-    return edges.join(patterns, "pattern", "left_semi")
-
+    return edges.join(texts.select("pattern"), "pattern", "left_semi")
 
-def _judged(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
-    """(pattern): those of the patterns in which at least HALF_KNOWN of all the different tokens are trusted.
 
-    Every token of every text counts, with or without digits; only (pattern, token) pairs of
-    hashes are shuffled, each once a task.
-    """
-    patterns = held.select("pattern").distinct()
-    pairs = _standing(docs, rows, patterns).select("pattern", "instance", F.lit(False).alias("known"))
+def _half_known(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(pattern): those in which at least HALF_KNOWN of the different tokens are trusted."""
+    pairs = found.select("pattern", "instance", F.lit(False).alias("known"))
     pairs = pairs.union(held.select("pattern", "instance", F.col("seed").alias("known")))
     each = pairs.groupBy("pattern", "instance").agg(F.max("known").alias("known"))
     shares = each.groupBy("pattern").agg(F.avg(F.col("known").cast("int")).alias("share"))
-    return staged(shares.filter(F.col("share") >= HALF_KNOWN).select("pattern"), "pii-judged")
+    return shares.filter(F.col("share") >= HALF_KNOWN).select("pattern")
+
+
+def _standing_judged(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame | None:
+    """(doc_id, text_key, start, end, instance, pattern) of all tokens in the patterns that are half known; None without such patterns.
+
+    A pattern that fails on some of the texts fails on all of them, as the trusted tokens it
+    holds are counted over the whole corpus from the start and the others only grow in
+    number. So growing shares of the texts sift the patterns before all texts are cut up: this
+    changes no result, and the patterns that are left hold few tokens for each trusted one.
+    """
+    texts = _pattern_texts(rows, held)
+    for part in SIFTING:
+        if held.isEmpty():
+            return None
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(part)), F.lit(part)) == 0)
+        found = _standing(some, texts).select("pattern", "instance")
+        held = staged(held.join(_half_known(held, found), "pattern", "left_semi"), "pii-sifted")
+        texts = staged(texts.join(held.select("pattern"), "pattern", "left_semi"), "pii-contexts")
+    if held.isEmpty():
+        return None
+    edges = staged(_standing(docs, texts).distinct(), "pii-standing")
+    patterns = staged(_half_known(held, edges), "pii-judged")
+    return None if patterns.isEmpty() else edges.join(patterns, "pattern", "left_semi")
 
 
 def looked_up(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame | None:
@@ -331,11 +356,10 @@ def looked_up(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame |
 
     held has the patterns' edges so far.
     """
-    patterns = _judged(docs, rows, held)
-    if patterns.isEmpty():
+    edges = _standing_judged(docs, rows, held)
+    if edges is None:
         return None
-    held = held.join(patterns, "pattern", "left_semi")
-    edges = _standing(docs, rows, patterns).distinct()
+    held = held.join(edges.select("pattern").distinct(), "pattern", "left_semi")
     # Tokens that meet a span already judged, by the rules or as an instance, are no others.
     judged = rows.filter("size(base) + size(others) > 0").select(
         F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.concat("base", "others").alias("judged")
@@ -415,10 +439,11 @@ def masked(text: Column, spans: Column) -> Column:
 def masked_documents(docs: DataFrame) -> DataFrame:
     """All documents, personal data masked, with the columns of the input."""
     spans = _all_spans(docs, staged(_scored(docs), "pii-spans")).filter("size(all) > 0")
-    # Names of their own, as the documents may have any columns.
-    spans = spans.groupBy(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key")).agg(F.max("all").alias("_pii_spans"))
+    # Names that the documents do not have, whatever their columns are called.
+    of, of_key, of_spans = unused_names(docs, "pii_id", "pii_key", "pii_spans")
+    spans = spans.groupBy(F.col("doc_id").alias(of), F.col("text_key").alias(of_key)).agg(F.max("all").alias(of_spans))
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (key == F.col("_pii_key")), "left")
-    found = F.col("_pii_spans")
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(of)) & (key == F.col(of_key)), "left")
+    found = F.col(of_spans)
     text = F.when(found.isNotNull(), masked(docs["text"], found)).otherwise(docs["text"])
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])

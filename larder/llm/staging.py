@@ -37,3 +37,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any(n.lower() + tail in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]

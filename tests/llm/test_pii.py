@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm import pii
 from tests.llm.conftest import EDGES, prose
@@ -136,3 +137,35 @@ def test_no_python_in_the_plan(documents, capsys):
     pii.personal_data(documents(in_context(3))).explain()
     plan = capsys.readouterr().out
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_plan_of_the_look_up_has_no_python(documents, capsys):
+    rows = [(i, f"reach me via user{i}@mail.example.com today") for i in range(20)] + [(100, "reach me via jane_doe today")]
+    scored = pii.staged(pii._scored(documents(rows)), "test")
+    _, held = pii.trusted(scored)
+    assert not held.isEmpty()
+    pii._standing(documents(rows), pii._pattern_texts(scored, held)).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_sifting_changes_no_result(documents, monkeypatch):
+    """More than 64 trusted patterns, half of which mostly hold ordinary words."""
+    words = list(dict.fromkeys(prose(400, 5).split()))[:30]
+    rows = []
+    for k in range(140):
+        key = f"key{chr(97 + k // 26)}{chr(97 + k % 26)}"
+        rows += [f"{key} word user{k}x{i}@mail.example.com {key}end" for i in range(6)]
+        rows += [f"{key} word {w} {key}end" for w in (words if k % 2 else ["jane_doe", "mary_k"])]
+    rows = list(enumerate(rows))
+    got = sorted(map(tuple, pii.personal_data(documents(rows)).collect()))
+    monkeypatch.setattr(pii, "SIFTING", ())
+    assert got == sorted(map(tuple, pii.personal_data(documents(rows)).collect()))
+    found = {r[0] for r in got if r[-1]}
+    assert found == {d for d, t in rows if "jane_doe" in t or "mary_k" in t}
+
+
+def test_masked_documents_with_any_column_names(documents):
+    df = documents(in_context(20)).withColumn("PII_ID", F.lit(1)).withColumn("pii_spans", F.lit("x"))
+    got = pii.masked_documents(df)
+    assert got.columns == df.columns
+    assert {(r["PII_ID"], r["pii_spans"]) for r in got.collect()} == {(1, "x")}
