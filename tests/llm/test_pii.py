@@ -154,7 +154,7 @@ def test_sifting_changes_no_result(documents, monkeypatch):
     rows = []
     for k in range(140):
         key = f"key{chr(97 + k // 26)}{chr(97 + k % 26)}"
-        rows += [f"{key} word user{k}x{i}@mail.example.com {key}end" for i in range(6)]
+        rows += [f"{key} word user{k}x{i}@mail.example.com {key}end" for i in range(10)]
         rows += [f"{key} word {w} {key}end" for w in (words if k % 2 else ["jane_doe", "mary_k"])]
     rows = list(enumerate(rows))
     got = sorted(map(tuple, pii.personal_data(documents(rows)).collect()))
