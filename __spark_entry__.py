@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import oracles
 from larder.functions.expressions import churned, probability_band, risk_segment
 from larder.functions.labels import CHURN_FEATURE_LABELS, PAIR_FEATURE_LABELS
-from larder.operators import basket, dashboard, detail, export, models, rfm
+from larder.operators import basket, dashboard, detail, export, models, rfm, trees
 from larder.plans import refresh
 from larder.plans.refresh import SUMMARIES, refresh_all
 from larder.plans.warehouse import Warehouse
@@ -111,6 +111,11 @@ def _pairs_100(w: Warehouse) -> DataFrame:
     return w.table("pairs_100", lambda: w.pairs(100))
 
 
+def _ranked_pairs(w: Warehouse) -> DataFrame:
+    order = F.desc("times_bought_together"), F.col("item_1"), F.col("item_2")
+    return dashboard.ranked(basket.best_pairs(_pairs_100(w), 10), *order)
+
+
 def _large(w: Warehouse) -> Star:
     """The same tables, with dimensions treated as too large to broadcast."""
     return Star.of_entries(w.store, w.entries(), broadcast_bytes=0)
@@ -240,6 +245,40 @@ def _pair_job(job: Callable[[Warehouse, models.PipelineModel], DataFrame], schem
     return run
 
 
+def _agrees(walked: DataFrame, scored: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Per key whether the walk through the node table gives the model's score."""
+    said = scored.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col(score).alias("said"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    close = F.abs(F.col("score") - F.col("said")) <= 1e-9 * F.greatest(F.abs("said"), F.lit(1.0))
+    return walked.join(said, same, "full").select(*keys, F.coalesce(close, F.lit(False)).alias("agrees"))
+
+
+def _clv_walk(w: Warehouse) -> DataFrame:
+    scored = w.predictions()
+    return _agrees(trees.walked(w.features(), ["HSHD_NUM"], models.CLV_FEATURES, w.nodes("clv")), scored, ["HSHD_NUM"], "clv_score")
+
+
+def _churn_walk(w: Warehouse) -> DataFrame:
+    scored = w.predictions()
+    return _agrees(trees.walked(w.features(), ["HSHD_NUM"], models.CHURN_FEATURES, w.nodes("churn")), scored, ["HSHD_NUM"], "churn_prob")
+
+
+def _pair_walk(w: Warehouse, model: models.PipelineModel) -> DataFrame:
+    keys, pairs = ["item_1", "item_2"], w.pair_features()
+    return _agrees(trees.walked(pairs, keys, models.PAIR_FEATURES, w.nodes("pairs")), model.transform(pairs), keys, "prediction")
+
+
+def _churn_importances_walk(w: Warehouse) -> DataFrame:
+    """Per input whether the node table gives the importance that the model gives."""
+    model = w.churn_model()
+    said = w.store.spark.createDataFrame(
+        list(zip(models.CHURN_FEATURES, map(float, model.stages[-1].featureImportances.toArray()))), "of string, said double"
+    )
+    got = trees.importances_of(w.nodes("churn"), models.CHURN_FEATURES, per_tree=True)
+    close = F.abs(F.col("importance") - F.col("said")) <= 1e-9
+    return got.join(said, F.col("input") == F.col("of"), "full").select(F.col("input").alias("feature"), F.coalesce(close, F.lit(False)).alias("agrees"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Spend and households per department on the smallest test data."""
     return queries()["dept"](spark, "/root/testdata/sf0.001")
@@ -282,9 +321,8 @@ def queries() -> dict[str, Query]:
         "basket_pairs_20": _on(lambda w: basket.best_pairs(_pairs_100(w), 20)),
         "basket_large": _on(_basket_large),
         "basket_all_pairs": _on(lambda w: w.pairs(None)),
-        "basket_ranked": _on(
-            lambda w: dashboard.ranked(basket.best_pairs(_pairs_100(w), 10), F.desc("times_bought_together"), F.col("item_1"), F.col("item_2"))
-        ),
+        "basket_ranked": _on(_ranked_pairs),
+        "basket_bottom_up": _on(lambda w: dashboard.bottom_up(_ranked_pairs(w))),
         "basket_labels": _on(lambda w: basket.pair_labels(basket.best_pairs(_pairs_100(w), 10))),
         "pair_axis_max": _on(lambda w: basket.pair_axis_max(_pairs_100(w))),
         "commodity_stats": _on(lambda w: basket.commodity_stats(w.star)),
@@ -355,6 +393,11 @@ def queries() -> dict[str, Query]:
             lambda w, m: models.pair_summary(w.pair_features(), m),
             "n_pairs bigint, r2 double, mae double",
         ),
+        "clv_walk": _on(_clv_walk),
+        "churn_walk": _on(_churn_walk),
+        "pair_walk": _pair_job(_pair_walk, "item_1 string, item_2 string, agrees boolean"),
+        "churn_importances_walk": _on(_churn_importances_walk),
+        "churn_sample": _on(lambda w: models.sample_rows(w.features(), 500).select("HSHD_NUM")),
         "refresh_all": _on(refresh_all),
         "refresh_written": _on(_refresh_written),
         "refresh_status": _refresh_status,

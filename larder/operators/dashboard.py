@@ -261,6 +261,12 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.select(rank.alias("rank"), *rows.columns)
 
 
+def bottom_up(rows: DataFrame) -> DataFrame:
+    """A ranked list in reverse, as horizontal bars are drawn: place 1 is the last rank."""
+    place = F.row_number().over(W.orderBy(F.desc("rank"))).cast("bigint")
+    return rows.select(place.alias("place"), *rows.columns).orderBy("place")
+
+
 # Pivots ----------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.expressions import churned, risk_segment
@@ -45,10 +45,21 @@ def is_training(*keys: str) -> Column:
 
 
 def sample_rows(features: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """About n households, those with the lowest hashes: the capped training set."""
-    share = F.lit(n) / F.greatest(features.agg(F.count(F.lit(1))).scalar(), F.lit(1))
-    draw = F.pmod(F.xxhash64("HSHD_NUM", F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
-    return features.filter(draw < share)
+    """Exactly n households, those with the lowest hashes, or all if there are fewer: the capped training set.
+
+    A histogram of the first hex digits finds the bucket in which the n-th hash lies; only
+    that bucket, one of 4,096, is ordered. Equal hashes go by household.
+    """
+    draw = F.md5(F.concat(F.coalesce(F.col("HSHD_NUM").cast("string"), F.lit("")), F.lit(f":{SEED}")))
+    bucket = F.substring(draw, 1, 3)
+    counts = features.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")
+    edge = counts.select("bucket", "n", below.alias("below")).filter((F.col("below") < n) & (F.col("below") + F.col("n") > n)).first()
+    if edge is None:
+        whole = counts.select("bucket", below.alias("below")).filter(F.col("below") < n).select("bucket")
+        return features.join(F.broadcast(whole.withColumnRenamed("bucket", "_bucket")), bucket == F.col("_bucket"), "left_semi")
+    cut = features.filter(bucket == edge["bucket"]).orderBy(draw, "HSHD_NUM").limit(n - edge["below"])
+    return features.filter(bucket < edge["bucket"]).unionByName(cut)
 
 
 def _gbt(inputs: Sequence[str]) -> Pipeline:
@@ -97,7 +108,7 @@ def train_churn(
 ) -> PipelineModel:
     """Balanced random forest for more than 90 days without a purchase.
 
-    `max_rows` bounds the labelled rows to about that many.
+    `max_rows` bounds the labelled rows to that many.
     """
     rows = features if max_rows is None else sample_rows(features, max_rows)
     rows = rows.filter(is_training("HSHD_NUM")).withColumn("label", churned("recency"))

