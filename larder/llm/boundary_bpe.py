@@ -21,9 +21,11 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +89,13 @@ class BoundaryBpe:
         for token in tokens:
             for a, b in zip(token, token[1:]):
                 self.joined[a << 8 | b] = True
-        # Every token's text, and its number as text, each with a blank behind it.
+        # Every token's text, and its number as text.
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         size = max(names) + 1
-        self.names, self.names_at = _table([names.get(i, "").encode() + b" " for i in range(size)])
-        self.numbers, self.numbers_at = _table([b"%d " % i for i in range(size)])
+        self.names = pa.array([names.get(i, "").encode() for i in range(size)], pa.large_binary())
+        self.numbers = pa.array([b"%d" % i for i in range(size)], pa.large_binary())
         char_of = {b: c for c, b in byte_of.items()}
         self.apart = {char_of[i >> 8] + char_of[i & 255] for i in np.flatnonzero(~self.joined).tolist()}
-        self._forget()
-
-    def _forget(self) -> None:
         self.words: dict[bytes, list[int]] = {}
         self.tokens: dict[str, list[int]] = {}
         self.fragments: dict[str, list[int]] = {}
@@ -224,8 +223,9 @@ class BoundaryBpe:
         """All ids of all texts, and where each text's begin."""
         words = words_of(texts)
         distinct, number = distinct_words(words)
+        # Tokens and fragments, which words share, stay until they are too many themselves.
         if len(self.words) + len(distinct) > REMEMBERED:
-            self._forget()
+            self.words.clear()
         lists = [self.words.get(data) for data in distinct]
         together: list[tuple[int, str]] = []
         for i in [i for i, ids in enumerate(lists) if ids is None]:
@@ -239,30 +239,24 @@ class BoundaryBpe:
             for (i, _), ids in zip(part, self._plain_words([text for _, text in part])):
                 lists[i] = self.words[distinct[i]] = ids
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
         first = np.cumsum(lengths) - lengths
         at, word_at = gather(first[number], lengths[number])
         return flat[at], word_at[words.first]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Each text from its ids ids[at[i]:at[i + 1]]."""
-        return _joined(self.names, self.names_at, ids, at)
+        return _joined(self.names, ids, at)
 
     def listed(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The ids of each text in decimal, with blanks between them."""
-        return _joined(self.numbers, self.numbers_at, ids, at)
-
-
-def _table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        return _joined(self.numbers, ids, at)
 
 
-def _joined(data: np.ndarray, begin: np.ndarray, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """The entries of each text's ids one after another, without the blank behind the last."""
-    take, offsets = gather(begin[ids], np.diff(begin)[ids])
-    text = data[take].tobytes()
-    edges = offsets[at].tolist()
-    return [text[a : max(a, b - 1)] for a, b in zip(edges, edges[1:])]
+def _joined(entries: pa.Array, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The entries of each text's ids, with blanks between them."""
+    lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), entries.take(pa.array(ids)))
+    return pc.binary_join(lists, pa.scalar(b" ", pa.large_binary())).to_pylist()
 
 
 def distinct_words(words: Words) -> tuple[list[bytes], np.ndarray]:
