@@ -4,13 +4,14 @@ from types import SimpleNamespace
 
 import pytest
 
+import fixtures
 from larder.functions.expressions import date_or_null
 from larder.plans import refresh
 from larder.plans.warehouse import Warehouse
 from larder.sources import ingest, readers, schema
 from larder.sources.star import Star
 from larder.sources.store import utc_now
-from tests.conftest import frame, line, text_frame, tuples
+from tests.conftest import SF, frame, line, text_frame, tuples
 
 HOUSEHOLD_HEADER = "HSHD_NUM ,L,AGE_RANGE,MARITAL,INCOME_RANGE,HOMEOWNER,HSHD_COMPOSITION,HH_SIZE,CHILDREN"
 
@@ -226,3 +227,16 @@ def test_keep_first_on_load(spark, store, files, tmp_path):
         refresh.load(warehouse, raw(spark, files))
     refresh.load(warehouse, raw(spark, files), keep_first=True)
     assert [(r["HSHD_NUM"], r["L"]) for r in store.read("households").collect()] == [(10, "N")]
+
+
+def test_ranges_follow_from_the_rows(spark, monkeypatch):
+    """However few partitions the session shuffles into, no task orders more than its share."""
+    monkeypatch.setattr(ingest, "ROWS_PER_RANGE", 100)
+    rows = frame(spark, "transactions", [line(b, b, 1, 1) for b in range(3000)])
+    assert ingest.cluster(rows, 3000).rdd.getNumPartitions() == 30
+
+
+def test_purchases_meet_their_orders_without_a_sort(spark, capsys):
+    fixtures.typed_tables(spark, SF)["transactions"].explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
