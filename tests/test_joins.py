@@ -3,7 +3,7 @@
 import pytest
 from larder.operators import basket, dashboard, detail, rfm
 from larder.operators.joins import join_dimension
-from larder.plans.refresh import SUMMARIES
+from larder.plans.refresh import SUMMARIES, summary_results
 from larder.plans.warehouse import Warehouse
 from tests.conftest import frame, line, tuples
 
@@ -91,3 +91,28 @@ JOBS = SUMMARIES | {
 def test_large_dimensions_change_nothing(both, name):
     small, large = (sorted(tuples(JOBS[name](s)), key=repr) for s in both)
     assert small and small == large
+
+
+def test_a_dimension_is_measured_by_the_columns_taken(make_star, skewed, capsys):
+    """Products of 65 rows with five columns do not fit 4,000 bytes; a number and one name do."""
+    star = make_star(*skewed, broadcast_bytes=4000)
+    assert not star.products_fit
+    for name in ("organic", "dept", "commodity_stats"):
+        JOBS[name](star).explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(tuples(JOBS[name](star))) == sorted(tuples(JOBS[name](make_star(*skewed))))
+
+
+def test_a_refresh_joins_large_dimensions_once(spark, store, make_star, skewed, capsys):
+    tables = {t: frame(spark, t, rows) for t, rows in zip(("transactions", "households", "products"), skewed)}
+    warehouse = Warehouse(store, broadcast_bytes=0)
+    warehouse.load(tables)
+    small = make_star(*skewed)
+    results = summary_results(warehouse)
+    for name, job in SUMMARIES.items():
+        assert sorted(tuples(results[name]), key=repr) == sorted(tuples(job(small)), key=repr)
+        if name != "brand_income":
+            results[name].explain("formatted")
+            plan = capsys.readouterr().out
+            assert "/data/products/" not in plan and "/data/households/" not in plan
