@@ -9,8 +9,9 @@ are added to the spans as kind `id`; spans of the rules stay.
 
 Then the trusted patterns are judged by every token of every text, with or without digits:
 those in which less than half of the different tokens are trusted hold ordinary words and go.
-Most of them show that on a small part of the texts, and what fails there fails on all. All
-tokens in the others are looked up, and these patterns are scored again with them.
+Most of them show that on a small part of the texts, and what fails there fails on all, so
+they are sifted on growing parts: a pattern that passes one part holds few tokens on the next.
+All tokens in the others are looked up, and these patterns are scored again with them.
 Tokens trusted by that are spans where they stand in such a pattern; they teach no further
 patterns.
 
@@ -45,6 +46,8 @@ MARKS = "._/+=@-"
 BLOCK = 256
 # A token behind a mark of the same piece.
 INNER = r"[^\p{L}\p{M}\p{N}._/+=@\x20\x09-\x0D-][\p{L}\p{M}\p{N}._/+=@-]"
+# A piece whose word ends like a token: the word behind a token at its start is the next piece's.
+CLOSED = r"[\p{L}\p{M}\p{N}][\x20\x09-\x0D]*\z"
 # Places of the filter of sought words, a power of two: 32 KB for any number of patterns.
 BITS = 1 << 18
 
@@ -57,7 +60,10 @@ INSTANCE_TRUST = 0.9
 # A trusted pattern is looked up if this share of all different tokens in it is trusted so far.
 HALF_KNOWN = 0.5
 # Patterns are sifted on one in so many texts, in this order, before all texts are looked through.
-SIFTING = (64, 8)
+SIFTING = (32_768, 4_096, 512, 64, 8)
+# Parts of fewer texts than this are left out; parts from this one on are cut out of all texts once.
+SIFTED_TEXTS = 64
+SMALL_PART = 64
 # Code points looked at on each side of a span for its neighbouring words.
 CONTEXT = 80
 
@@ -231,13 +237,15 @@ def _marked(marks: Column, number: Column) -> Column:
 def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pieces of all texts where one of the patterns may stand, each with the two before it, the one behind it and its place.
 
-    Pieces are sifted inside the arrays by the words before them; only those that pass
+    Pieces are sifted inside the arrays by the words around them; only those that pass
     become rows. Texts are cut into blocks, so that places are added up over a bounded number of pieces.
     """
     words = texts.select(F.col("text").startswith("LL|").alias("ll"), F.split(F.substring("text", 4, 1 << 30), " ").alias("w"))
     pair = lambda a, b: F.xxhash64(a, b)
-    two = _marks(words.filter("ll").select(pair(F.xxhash64(F.col("w")[0]), F.xxhash64(F.col("w")[1]))))
+    both = pair(F.xxhash64(F.col("w")[0]), F.xxhash64(F.col("w")[1]))
+    two = _marks(words.filter("ll").select(both))
     one = _marks(words.filter("NOT ll").select(F.xxhash64(F.col("w")[0])))
+    around = _marks(words.filter("NOT ll").select(both))
 
     def places(lengths: Column) -> Column:
         """The sums before every length."""
@@ -248,6 +256,11 @@ def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
     def at(array: str, n: Column, other: str | int | bool) -> Column:
         return F.coalesce(F.try_element_at(F.col(array), F.when(n > 0, n)), F.lit(other))
 
+    def leads(h: Column, i: Column) -> Column:
+        """May a token stand at the start of the piece behind word i, which has the hash h?"""
+        fits = _marked(around, pair(h, at("hashes", i + 3, 0))) | ~at("pieces", i + 2, "").rlike(CLOSED)
+        return _marked(one, h) & fits | _marked(two, pair(at("hashes", i, 0), h))
+
     text = F.coalesce("text", F.lit(""))
     split = docs.select(
         "doc_id", F.xxhash64(text).alias("text_key"), F.split(text, PIECE_START, -1).alias("pieces"),
@@ -256,7 +269,7 @@ def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
     split = split.select(
         "doc_id", "text_key", "pieces",
         # May a token stand behind this word, or in this piece behind a mark or near a long word?
-        F.transform("hashes", lambda h, i: _marked(one, h) | _marked(two, pair(at("hashes", i, 0), h))).alias("leads"),
+        F.transform("hashes", leads).alias("leads"),
         F.transform("pieces", lambda p: F.length(p) >= CONTEXT // 2).alias("long"),
         F.transform("pieces", lambda p: p.rlike(INNER)).alias("inner"),
     )
@@ -265,8 +278,8 @@ def _pieces(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def block(b: Column) -> Column:
         first = F.greatest(b * BLOCK - 2, F.lit(0))
-        around = b * BLOCK - first + BLOCK + 1
-        parts = [F.slice(c, first + 1, around).alias(c) for c in ("pieces", "leads", "long", "inner")]
+        taken = b * BLOCK - first + BLOCK + 1
+        parts = [F.slice(c, first + 1, taken).alias(c) for c in ("pieces", "leads", "long", "inner")]
         length = F.length(F.array_join(F.slice("pieces", b * BLOCK + 1, F.lit(BLOCK)), ""))
         return F.struct((b * BLOCK - first).alias("lead"), *parts, length.alias("length"))
 
@@ -312,10 +325,13 @@ def _standing(docs: DataFrame, texts: DataFrame) -> DataFrame:
     place = F.col("at") + F.col("s.start")
     span = F.struct(place.alias("start"), (place + F.length("value")).alias("end"))
     start = F.col("from") + place
+    # Of a token's patterns, only those that may be sought become rows.
+    sought = _marks(texts.select("pattern"))
+    numbers = F.transform(_contexts(F.col("local"), span), lambda c: F.xxhash64(c))
     edges = tokens.select(
         "doc_id", "text_key", start.alias("start"), (start + F.length("value")).alias("end"),
-        F.xxhash64("value").alias("instance"), F.explode(_contexts(F.col("local"), span)).alias("pattern"),
-    ).withColumn("pattern", F.xxhash64("pattern"))
+        F.xxhash64("value").alias("instance"), F.explode(F.filter(numbers, lambda n: _marked(sought, n))).alias("pattern"),
+    )
     return edges.join(texts.select("pattern"), "pattern", "left_semi")
 
 
@@ -335,12 +351,19 @@ def _standing_judged(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataF
     holds are counted over the whole corpus from the start and the others only grow in
     number. So growing shares of the texts sift the patterns before all texts are cut up: this
     changes no result, and the patterns that are left hold few tokens for each trusted one.
+    The first share has a bounded number of texts, and each holds the one before, so the tokens
+    looked at grow with the trusted ones and not with the texts times the patterns.
     """
     texts = _pattern_texts(rows, held)
-    for part in SIFTING:
+    size = rows.count()
+    number = F.xxhash64("doc_id", "text")
+    small = None
+    for part in (part for part in SIFTING if size >= part * SIFTED_TEXTS):
         if held.isEmpty():
             return None
-        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(part)), F.lit(part)) == 0)
+        if part >= SMALL_PART and small is None:
+            small = staged(docs.select("doc_id", "text").filter(F.pmod(number, F.lit(SMALL_PART)) == 0), "pii-some")
+        some = (docs if part < SMALL_PART else small).filter(F.pmod(number, F.lit(part)) == 0)
         found = _standing(some, texts).select("pattern", "instance")
         held = staged(held.join(_half_known(held, found), "pattern", "left_semi"), "pii-sifted")
         texts = staged(texts.join(held.select("pattern"), "pattern", "left_semi"), "pii-contexts")

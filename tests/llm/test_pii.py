@@ -169,3 +169,29 @@ def test_masked_documents_with_any_column_names(documents):
     got = pii.masked_documents(df)
     assert got.columns == df.columns
     assert {(r["PII_ID"], r["pii_spans"]) for r in got.collect()} == {(1, "x")}
+
+
+def test_only_places_of_sought_patterns_become_rows(documents):
+    """Of the pieces behind a pattern's word, those with another word behind them make no rows, nor do a token's other patterns."""
+    rows = [(i, f"via word{chr(97 + i % 26)} tomorrow and on") for i in range(200)]
+    rows += [(300, "go via bob today x"), (301, "via jane, today"), (302, "via (mary) today"), (303, "via ann today"), (304, "via"), (305, "via eve.  today ")]
+    texts = documents(rows).sparkSession.createDataFrame([("LR|via today",)], "text string").withColumn("pattern", F.xxhash64("text"))
+    near = pii._pieces(documents(rows), texts)
+    assert sorted(r[0] for r in near.select(F.trim("own")).collect()) == ["(mary)", "ann", "bob", "eve.", "jane,"]
+    found = pii._standing(documents(rows), texts)
+    assert sorted(r[0] for r in found.select("doc_id").collect()) == [300, 303]
+
+
+def test_first_part_sifts_on_few_texts(documents, monkeypatch):
+    """A frequent pattern that fails is looked up in a bounded part of the texts: before, in one of 64."""
+    monkeypatch.setattr(pii, "SIFTED_TEXTS", 2)
+    rows = [(i, f"reach me via user{i}@mail.example.com today") for i in range(20)]
+    rows += [(100 + i, " ".join(f"reach me via {w} today" for w in prose(200, i).split())) for i in range(1100)]
+    docs = documents(rows)
+    scored = pii.staged(pii._scored(docs), "test")
+    _, held = pii.trusted(scored)
+    seen, standing = [], pii._standing
+    monkeypatch.setattr(pii, "_standing", lambda some, texts: seen.append(some.count()) or standing(some, texts))
+    assert not held.isEmpty()
+    assert pii._standing_judged(docs, scored, held) is None
+    assert len(seen) == 1 and 0 < seen[0] < len(rows) // 128
