@@ -4,7 +4,8 @@ A text is split at special tokens and white space, then normalised and pre-token
 tokenizer's own rules. Two neighbouring bytes of a pre-token that occur so in no token of the
 vocabulary can never be merged: the pre-token is cut between them for certain. The fragments
 are merged independently, each distinct one once, and their ids concatenated; only the last
-one of a pre-token carries the word end.
+one of a pre-token carries the word end. New fragments of a chunk of texts are merged side by
+side: each step does the next merge of all of them in numpy.
 
 Decoding puts the vocabulary's texts of the ids side by side with a blank between them, as
 the library does for a tokenizer without a decoder.
@@ -21,7 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ REMEMBERED = 400_000
 REMEMBERED_BYTES = 200
 # Words that are normalised and pre-tokenised in one call.
 TOGETHER = 2_000
-# Fragments up to this length look for the next merge in a list, longer ones in an agenda.
+# Fragments up to this length are merged side by side, longer ones by an agenda each.
 SHORT = 32
 _NO_MERGE = 1 << 62
 
@@ -80,9 +81,10 @@ class BoundaryBpe:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        # The same as one number, which orders merges and ends in the id they give.
-        self.bits = len(vocab).bit_length()
-        self.codes = {pair: rank << self.bits | new for pair, (rank, new) in self.merges.items()}
+        # The same as sorted pairs, each with one number that orders merges and ends in the id they give.
+        self.bits = max(vocab.values()).bit_length()
+        pairs = sorted((a << self.bits | b, rank << self.bits | new) for (a, b), (rank, new) in self.merges.items())
+        self.pairs, self.codes = np.array([*pairs, (_NO_MERGE, _NO_MERGE)], np.int64).T.copy()
         byte_of, tokens = _spelled(vocab, self.suffix)
         self.byte_of = byte_of
         self.joined = np.zeros(1 << 16, bool)
@@ -95,10 +97,15 @@ class BoundaryBpe:
         self.names = pa.array([names.get(i, "").encode() for i in range(size)], pa.large_binary())
         self.numbers = pa.array([b"%d" % i for i in range(size)], pa.large_binary())
         char_of = {b: c for c, b in byte_of.items()}
+        # Every byte's symbol inside a pre-token and at its end, and the byte of a character's code point.
+        self.inside = np.array([vocab[char_of[b]] for b in range(256)], np.int64)
+        self.at_end = np.array([vocab[char_of[b] + self.suffix] for b in range(256)], np.int64)
+        self.byte_at = np.zeros(max(map(ord, byte_of)) + 1, np.uint8)
+        self.byte_at[[*map(ord, byte_of)]] = [*byte_of.values()]
         self.apart = {char_of[i >> 8] + char_of[i & 255] for i in np.flatnonzero(~self.joined).tolist()}
         self.words: dict[bytes, list[int]] = {}
         self.tokens: dict[str, list[int]] = {}
-        self.fragments: dict[str, list[int]] = {}
+        self.fragments: dict[bytes, list[int]] = {}
 
     def fragments_of(self, token: str) -> list[str]:
         """A pre-token (a character per byte) cut at the byte pairs that no token holds."""
@@ -118,8 +125,6 @@ class BoundaryBpe:
     def merge(self, symbols: list[int]) -> list[int]:
         """The merge of lowest rank first, the leftmost of equal ones."""
         n = len(symbols)
-        if n <= SHORT:
-            return self._merge_short(symbols)
         symbol, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         get = self.merges.get
         agenda = []
@@ -148,64 +153,129 @@ class BoundaryBpe:
                     heapq.heappush(agenda, (found[0], h, symbol[h], symbol[i]))
         return [s for s in symbol if s >= 0]
 
-    def _merge_short(self, symbols: list[int]) -> list[int]:
-        get, mask = self.codes.get, (1 << self.bits) - 1
-        symbols = list(symbols)
-        codes = [get(pair, _NO_MERGE) for pair in zip(symbols, symbols[1:])]
-        while codes:
-            least = min(codes)
-            if least == _NO_MERGE:
-                break
-            i = codes.index(least)
-            symbols[i : i + 2] = [least & mask]
-            del codes[i]
-            if i:
-                codes[i - 1] = get((symbols[i - 1], symbols[i]), _NO_MERGE)
-            if i < len(codes):
-                codes[i] = get((symbols[i], symbols[i + 1]), _NO_MERGE)
-        return symbols
-
-    def _fragment(self, text: str, last: bool) -> list[int]:
-        key = text + self.suffix if last else text
-        ids = self.fragments.get(key)
-        if ids is None:
-            symbols = [self.vocab[c] for c in text[:-1]] + [self.vocab[text[-1] + self.suffix if last else text[-1]]]
-            ids = self.merge(symbols)
-            if len(text) <= REMEMBERED_BYTES:
-                if len(self.fragments) >= REMEMBERED:
-                    self.fragments.clear()
-                self.fragments[key] = ids
-        return ids
-
-    def _token(self, token: str) -> list[int]:
-        """Ids of a pre-token."""
-        ids = self.tokens.get(token)
-        if ids is None:
-            parts = self.fragments_of(token)
-            ids = [i for part in parts[:-1] for i in self._fragment(part, False)] + self._fragment(parts[-1], True)
-            if len(token) <= REMEMBERED_BYTES:
-                if len(self.tokens) >= REMEMBERED:
-                    self.tokens.clear()
-                self.tokens[token] = ids
-        return ids
+    def _codes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << self.bits | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.codes[at], _NO_MERGE)
+
+    def merge_all(self, symbol: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many lists, one behind another, of these lengths; a step does the next merge of each."""
+        of = np.repeat(np.arange(len(length)), length)
+        code = np.full(len(symbol), _NO_MERGE)
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        code[inner] = self._codes(symbol[inner], symbol[inner + 1])
+        merged, owner = [], []
+        while len(symbol):
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            least = np.minimum.reduceat(code, start)
+            least = np.repeat(least, np.diff(start, append=len(of)))
+            open_ = least != _NO_MERGE
+            if not open_.all():
+                merged.append(symbol[~open_])
+                owner.append(of[~open_])
+                symbol, of, code, least = symbol[open_], of[open_], code[open_], least[open_]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(code == least)
+            at = at[np.diff(of[at], prepend=-1) != 0]
+            symbol[at] = least[at] & (1 << self.bits) - 1
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))
+            symbol, of, code = symbol[stay], of[stay], code[stay]
+            code[at] = _NO_MERGE
+            for left in (at[at > 0] - 1, at[at < len(symbol) - 1]):
+                left = left[of[left] == of[left + 1]]
+                code[left] = self._codes(symbol[left], symbol[left + 1])
+        if not merged:
+            return symbol, length
+        owner = np.concatenate(owner)
+        return np.concatenate(merged)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(length))
+
+    def _new_fragments(self, keys: list[bytes]) -> list[list[int]]:
+        """Ids of fragments, each led by one byte: whether it ends its pre-token."""
+        length = np.fromiter(map(len, keys), np.int64, len(keys)) - 1
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        first = np.cumsum(length + 1) - length
+        last = first + length - 1
+        symbol = self.inside[data]
+        ends = last[data[first - 1] == 1]
+        symbol[ends] = self.at_end[data[ends]]
+        short = np.flatnonzero(length <= SHORT)
+        flat, sizes = self.merge_all(symbol[gather(first[short], length[short])[0]], length[short])
+        ids, at = flat.tolist(), [0, *np.cumsum(sizes).tolist()]
+        out: list[list[int]] = [[]] * len(keys)
+        for i, a, b in zip(short.tolist(), at, at[1:]):
+            out[i] = ids[a:b]
+        for i in np.flatnonzero(length > SHORT).tolist():
+            out[i] = self.merge(symbol[first[i] : first[i] + length[i]].tolist())
+        return out
+
+    def _fragments(self, keys: list[bytes]) -> list[list[int]]:
+        lists = [self.fragments.get(key) for key in keys]
+        new = [i for i, ids in enumerate(lists) if ids is None]
+        if len(self.fragments) + len(new) > REMEMBERED:
+            self.fragments.clear()
+        for i, ids in zip(new, self._new_fragments([keys[i] for i in new])):
+            lists[i] = ids
+            if len(keys[i]) <= REMEMBERED_BYTES and len(self.fragments) < REMEMBERED:
+                self.fragments[keys[i]] = ids
+        return lists
+
+    def _new_tokens(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of different pre-tokens."""
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        data = self.byte_at[np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)]
+        begins = np.cumsum(size) - size
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joined[data[:-1].astype(np.int64) << 8 | data[1:]]
+        cut[begins] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(start, append=len(data))
+        last = np.zeros(len(data) + 1, bool)
+        last[begins + size] = True
+        # Each fragment with the byte before it that tells whether it is the last one.
+        at = start + np.arange(len(start))
+        led = np.empty(len(data) + len(start), np.uint8)
+        led[at] = last[start + length]
+        plain = np.ones(len(led), bool)
+        plain[at] = False
+        led[plain] = data
+        offsets = np.append(at, len(led))
+        array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(led)])
+        found = array.dictionary_encode()
+        lists = self._fragments(found.dictionary.to_pylist())
+        parts = [lists[i] for i in found.indices.to_pylist()]
+        edges = [*np.searchsorted(start, begins).tolist(), len(start)]
+        return [parts[a] if b - a == 1 else [*chain.from_iterable(parts[a:b])] for a, b in zip(edges, edges[1:])]
+
+    def _tokens(self, tokens: list[str]) -> list[list[int]]:
+        """Ids of each pre-token; those not met before are encoded together."""
+        known = self.tokens
+        new = [t for t in dict.fromkeys(tokens) if t not in known]
+        if not new:
+            return [known[t] for t in tokens]
+        found = dict(zip(new, self._new_tokens(new)))
+        lists = [found[t] if t in found else known[t] for t in tokens]
+        if len(known) + len(found) > REMEMBERED:
+            known.clear()
+        known.update((t, ids) for t, ids in islice(found.items(), REMEMBERED) if len(t) <= REMEMBERED_BYTES)
+        return lists
 
     def _plain(self, text: str) -> list[int]:
-        return [i for token, _ in self.pre_tokenize(self.normalize(text)) for i in self._token(token)]
+        return [*chain.from_iterable(self._tokens([token for token, _ in self.pre_tokenize(self.normalize(text))]))]
 
-    def _plain_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words without any white space, normalised and pre-tokenised with a blank between them."""
+    def _pre_tokens(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """Pre-tokens of words without any white space, normalised with a blank between them, and how many each word has."""
         text = self.normalize(" ".join(words))
-        ends = np.cumsum([len(w) + 1 for w in text.split(" ")]).tolist()
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
         if len(ends) != len(words):
-            return [self._plain(w) for w in words]
-        out: list[list[int]] = [[] for _ in words]
-        at, end, ids = 0, ends[0], out[0]
-        for token, (start, _) in self.pre_tokenize(text):
-            while start >= end:
-                at += 1
-                end, ids = ends[at], out[at]
-            ids += self._token(token)
-        return out
+            each = [[token for token, _ in self.pre_tokenize(self.normalize(w))] for w in words]
+            return [*chain.from_iterable(each)], [*map(len, each)]
+        found = self.pre_tokenize(text)
+        start = np.fromiter((place[0] for _, place in found), np.int64, len(found))
+        counts = np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(words))
+        return [token for token, _ in found], counts.tolist()
 
     def word(self, data: bytes) -> list[int]:
         """Ids of a text without white space of one byte."""
@@ -235,9 +305,16 @@ class BoundaryBpe:
                 lists[i] = self.word(distinct[i])
             else:
                 together.append((i, text))
+        tokens: list[str] = []
+        counts: list[int] = []
         for part in (together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)):
-            for (i, _), ids in zip(part, self._plain_words([text for _, text in part])):
-                lists[i] = self.words[distinct[i]] = ids
+            found, each = self._pre_tokens([text for _, text in part])
+            tokens += found
+            counts += each
+        ids, at = self._tokens(tokens), 0
+        for (i, _), n in zip(together, counts):
+            lists[i] = self.words[distinct[i]] = ids[at] if n == 1 else [*chain.from_iterable(ids[at : at + n])]
+            at += n
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
         first = np.cumsum(lengths) - lengths

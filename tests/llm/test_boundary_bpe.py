@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -90,3 +91,24 @@ def test_empty_table(spark, documents):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         boundary_bpe.BoundaryBpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_merged_side_by_side_as_one_by_one(codec):
+    """New fragments of a chunk are merged together, not in a loop over each."""
+    rng = random.Random(7)
+    lists = [[codec.vocab[c] for c in (rng.choice("etaoinshrlab") for _ in range(rng.randint(1, 40)))] for _ in range(2000)]
+    lists += [[codec.vocab["a"]] * n for n in range(1, 12)] + [[codec.vocab["q"], codec.vocab["z"]]]
+    flat, size = codec.merge_all(np.array([i for one in lists for i in one]), np.array([len(one) for one in lists]))
+    at = np.cumsum(size)
+    assert [flat[b - n : b].tolist() for b, n in zip(at, size)] == [codec.merge(one) for one in lists]
+    assert [a.tolist() for a in codec.merge_all(np.empty(0, np.int64), np.empty(0, np.int64))] == [[], []]
+
+
+def test_new_words_of_a_chunk_take_no_merge_each(codec, library, monkeypatch):
+    """One call merges all short fragments of a chunk; before, each took its own."""
+    calls, each = [], codec.merge_all
+    monkeypatch.setattr(codec, "merge_all", lambda *a: calls.append(1) or each(*a))
+    monkeypatch.setattr(codec, "merge", lambda symbols: pytest.fail("a short fragment by itself"))
+    rng = random.Random(8)
+    agrees(codec, library, [" ".join("".join(rng.choice("etaoinshr") for _ in range(12)) for _ in range(500))])
+    assert len(calls) == 1
