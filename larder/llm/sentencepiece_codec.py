@@ -29,8 +29,8 @@ from larder.llm.words import chunks, mix, words_of
 SEED = 4
 DROPOUT = 0.1
 # Segments up to the last width are merged side by side in tables; longer ones by the heap.
-WIDTHS = (3, 5, 7, 9, 12, 16, 24, 40)
-BLOCK_ROWS = 4_000
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40)
+BLOCK_ROWS = 16_000
 _SPACE = 0x2581
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
@@ -71,10 +71,13 @@ class Pieces:
         for piece in ordinary:
             for c in piece:
                 symbols.setdefault(c, size + len(symbols))
-        chars = {ord(p): i for p, i in symbols.items() if len(p) == 1}
-        self.points = np.array(sorted(chars), np.int64)
-        self.point_symbols = np.array([chars[c] for c in self.points.tolist()], np.int64)
-        self.base = max(symbols.values()) + 1
+        self.point_symbols = np.full(0x110000, -1, np.int32)
+        for p, i in symbols.items():
+            if len(p) == 1:
+                self.point_symbols[ord(p)] = i
+        self.point_symbols[0x20], self.point_symbols[_SPACE] = self.point_symbols[_SPACE], -1
+        # Two more than needed, so that a pair with -1 or -2 has no other pair's key.
+        self.base = max(symbols.values()) + 3
         scores = sorted({model.get_score(i) for i in ordinary.values()}, reverse=True)
         rank = {s: r for r, s in enumerate(scores)}
         pairs = {}
@@ -103,13 +106,10 @@ class Pieces:
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """Symbol of each code point (a space byte stands for U+2581); -1 where it has none."""
-        points = np.where(points == 0x20, _SPACE, np.where(points == _SPACE, -1, points.astype(np.int64)))
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, self.point_symbols[at], -1)
+        return self.point_symbols[points]
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * self.base + right
-        key[(left < 0) | (right < 0)] = -1
         at = self._slot(key)
         found = self.pairs[at]
         wrong = np.flatnonzero((found != key) & (found != -2))
@@ -164,68 +164,57 @@ def merge_one(model: Pieces, symbols: list[int], key: int, rate: float) -> tuple
     return [symbol[i] for i in starts], starts
 
 
-def merge_table(model: Pieces, symbol: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Many segments, a row each (-2 behind the end), by the same agenda: a merge per row and step.
+def merge_table(model: Pieces, symbol: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    """Many segments, a column each (-2 behind the end), by the same agenda: a merge per column and step.
 
-    Gives the table of symbols and of their starts, -2 where a row has ended.
+    Gives the table with each symbol where it begins, -2 elsewhere. Symbols stay in their place and
+    know the rows of their neighbours, so that a merge touches the pairs around it only.
     """
-    n, width = symbol.shape
-    start = np.where(symbol != -2, np.arange(width), -2).astype(np.int16)
-    length = (symbol != -2).sum(axis=1)
-    done_symbol, done_start = symbol.copy(), start.copy()
-    active = np.flatnonzero(length > 1)
-    symbol, start, length, key = symbol[active], start[active], length[active], key[active]
-    chars = length.copy()
-
-    def ends(rows: np.ndarray, column: np.ndarray) -> np.ndarray:
-        """Where the symbol in a column ends: at the next one's start or the segment's end."""
-        beyond = column + 1 >= length[rows]
-        return np.where(beyond, chars[rows], start[rows, np.minimum(column + 1, start.shape[1] - 1)])
-
-    def offers(rows: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of merging each row's column with the next one."""
-        inside = (column >= 0) & (column + 1 < length[rows])
-        c = np.where(inside, column, 0)
-        rank, merged = model.lookup(symbol[rows, c], symbol[rows, c + 1])
-        rank = np.where(inside, rank, _NEVER)
+    width, n = symbol.shape
+    # A row of -2 above and below: pairs that reach beyond a segment merge into nothing.
+    symbol = np.pad(symbol, ((1, 1), (0, 0)), constant_values=-2).ravel()
+    row = np.repeat(np.arange(width + 2), n)
+    after, before = np.minimum(row + 1, width + 1), row - 1
+    result = np.empty(len(symbol), np.int32)
+    bits = (width + 1).bit_length()
+
+    def offers(column: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places on the agenda, by rank and row, of merging the symbols in two rows; notes what they give."""
+        at = left * n + column
+        rank, merged = model.lookup(symbol[at], symbol[right * n + column])
+        some = np.flatnonzero(rank != _NEVER)
         if rate > 0:
-            some = np.flatnonzero(rank != _NEVER)
-            r, c = rows[some], c[some]
-            rank[some[_skipped(key[r], start[r, c], start[r, c + 1], ends(r, c + 1), rate)]] = _NEVER
-        return rank, merged
-
-    rows, column = (x.ravel() for x in np.indices((len(active), width - 1)))
-    rank, result = (x.reshape(len(active), width - 1) for x in offers(rows, column))
-    while len(active):
-        best = rank.argmin(axis=1)
-        rows = np.arange(len(active))
-        open_ = rank[rows, best] != _NEVER
-        if not open_.all():
-            ended = active[~open_]
-            done_symbol[ended], done_start[ended] = symbol[~open_], start[~open_]
-            active, symbol, start, length, chars, key = (x[open_] for x in (active, symbol, start, length, chars, key))
-            rank, result, best = rank[open_], result[open_], best[open_]
-            rows = np.arange(len(active))
-            if not len(active):
-                break
-        symbol[rows, best] = result[rows, best]
-        # What stands behind the merged pair moves one to the left.
-        columns = np.arange(width)
-        move = np.minimum(columns + (columns > best[:, None]), width - 1)
-        symbol, start = np.take_along_axis(symbol, move, 1), np.take_along_axis(start, move, 1)
-        rank, result = (np.take_along_axis(x, np.minimum(move[:, :-1], width - 2), 1) for x in (rank, result))
-        length -= 1
-        rest = columns[None, :] >= length[:, None]
-        symbol[rest], start[rest] = -2, -2
-        rank[rest[:, 1:]] = _NEVER
-        for column in (best - 1, best):
-            new_rank, new_result = offers(rows, column)
-            at = np.maximum(column, 0)
-            inside = column >= 0
-            at = np.minimum(at, width - 2)
-            rank[rows[inside], at[inside]] = new_rank[inside]
-            result[rows[inside], at[inside]] = new_result[inside]
-    return done_symbol, done_start
+            kept = ~_skipped(key[column[some]], left[some] - 1, right[some] - 1, end[some] - 1, rate)
+            some = some[kept]
+        result[at[some]] = merged[some]
+        place = np.full(len(left), _NEVER)
+        place[some] = rank[some] << bits | left[some]
+        return place
+
+    column = np.arange(n)
+    agenda = np.full((width + 2) * n, _NEVER)
+    inner = slice(n, width * n)
+    agenda[inner] = offers(np.tile(column, width - 1), row[inner], row[inner] + 1, row[inner] + 2)
+    while True:
+        best = agenda.reshape(width + 2, len(column)).min(axis=0)
+        open_ = np.flatnonzero(best != _NEVER)
+        if not len(open_):
+            return symbol.reshape(width + 2, n)[1:-1]
+        best = best[open_]
+        if len(open_) < 0.8 * len(column):
+            agenda, column = agenda.reshape(width + 2, -1)[:, open_].ravel(), column[open_]
+            open_ = np.arange(len(column))
+        m, c = len(column), column[open_]
+        left = (best & ((1 << bits) - 1)).astype(np.int64)
+        at = left * n + c
+        right = after[at]
+        gone = right * n + c
+        behind = after[gone]
+        symbol[at], symbol[gone], after[at], before[behind * n + c] = result[at], -2, behind, left
+        agenda[right * m + open_] = _NEVER
+        first, second = np.concatenate([before[at], left]), np.concatenate([left, behind])
+        place = offers(np.concatenate([c, c]), first, second, np.concatenate([behind, after[behind * n + c]]))
+        agenda[first * m + np.concatenate([open_, open_])] = place
 
 
 class Encoder:
@@ -263,29 +252,33 @@ class Encoder:
         symbols = self.model.symbols(points)
         length = end - start
         owner, symbol, point = [], [], []
+        count = np.zeros(len(start), np.int64)
         step = np.digitize(length, WIDTHS, right=True)
         for kind, width in enumerate(WIDTHS):
             rows = np.flatnonzero(step == kind)
             for at in range(0, len(rows), BLOCK_ROWS):
                 part = rows[at : at + BLOCK_ROWS]
-                table = np.full((len(part), width), -2, np.int32)
-                take, offsets = gather(start[part], length[part])
-                r = np.repeat(np.arange(len(part)), length[part])
-                table[r, np.arange(len(take)) - offsets[r]] = symbols[take]
-                merged, begins = merge_table(self.model, table, key[part], self.rate)
+                place = start[part] + np.arange(width)[:, None]
+                inside = np.arange(width)[:, None] < length[part]
+                table = np.where(inside, symbols[np.minimum(place, len(symbols) - 1)], np.int32(-2))
+                merged = merge_table(self.model, table, key[part], self.rate).T
                 used = merged != -2
-                r, _ = np.nonzero(used)
-                owner.append(part[r])
+                owner.append(part)
+                count[part] = used.sum(axis=1)
                 symbol.append(merged[used])
-                point.append(points[start[part][r] + begins[used]])
+                point.append(points[place.T[used]])
         for i in np.flatnonzero(step == len(WIDTHS)):
             merged, begins = merge_one(self.model, symbols[start[i] : end[i]].tolist(), int(key[i]), self.rate)
-            owner.append(np.full(len(merged), i))
+            owner.append(np.array([i]))
+            count[i] = len(merged)
             symbol.append(np.array(merged, np.int64))
             point.append(points[start[i] + np.array(begins)])
         owner, symbol, point = (np.concatenate(x) for x in (owner, symbol, point))
-        order = np.argsort(owner, kind="stable")
-        return self._spell(owner[order], symbol[order], point[order], len(start))
+        at = np.cumsum(count) - count
+        back, _ = gather(at[owner], count[owner])
+        ordered, begin = np.empty_like(symbol), np.empty_like(point)
+        ordered[back], begin[back] = symbol, point
+        return self._spell(np.repeat(np.arange(len(start)), count), ordered, begin, len(start))
 
     def _spell(self, owner: np.ndarray, symbol: np.ndarray, point: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols; a character without an id becomes the ids of its bytes."""

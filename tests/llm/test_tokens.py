@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -98,6 +99,40 @@ def test_tables_equal_the_heap(monkeypatch):
     assert ids.tolist() == heap_ids.tolist() and at.tolist() == heap_at.tolist()
 
 
+@pytest.mark.parametrize("rate", [0, 0.2, 0.6])
+def test_each_column_of_a_table_equals_the_heap(rate):
+    rng = random.Random(6)
+    model, width = sentencepiece_codec.pieces(PIECES), 9
+    words = [" " + "".join(rng.choice("theringand") for _ in range(rng.randint(0, width - 1))) for _ in range(500)]
+    symbols = [model.symbols(np.array([ord(c) for c in w])) for w in words]
+    table = np.full((width, len(words)), -2, np.int32)
+    for i, s in enumerate(symbols):
+        table[: len(s), i] = s
+    keys = np.arange(len(words), dtype=np.uint64)
+    merged = sentencepiece_codec.merge_table(model, table, keys, rate)
+    for i, s in enumerate(symbols):
+        begins = np.flatnonzero(merged[:, i] != -2)
+        assert sentencepiece_codec.merge_one(model, s.tolist(), i, rate) == (merged[begins, i].tolist(), begins.tolist())
+
+
+def test_takes_less_than_twice_the_time_of_the_library(library):
+    rng = random.Random(1)
+    bits = ["th", "er", "in", "on", "re", "an", "ti", "ou", "ly", "st", "ed", "ing"]
+    texts = [" ".join("".join(rng.choices(bits, k=rng.randint(1, 5))) for _ in range(300)) for _ in range(100)]
+    encoder = sentencepiece_codec.Encoder(PIECES)
+
+    def seconds(run):
+        taken = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            taken.append(time.process_time() - begun)
+        return min(taken)
+
+    whole = seconds(lambda: [library.encode(t) for t in texts])
+    assert seconds(lambda: encoder.encode(np.arange(len(texts)), pa.array(texts))) < 2 * whole
+
+
 def test_dropout_varies_by_document_and_seed_and_repeats():
     texts = [prose(300, 5)] * 3
     _, ids, at = encoded(texts, 0.2)
